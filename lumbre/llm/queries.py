@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import quality, ranking, repeated, split, template
+from lumbre.llm import mixture, pack, quality, ranking, repeated, split, template
 from lumbre.plans.tables import table
 
 SCORES = ["lsi_score", "lexical_overlap", "title_match"]
@@ -51,6 +51,22 @@ def p6_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template.articles(table(spark, sf_dir, "crawled_documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.fill_containers(table(spark, sf_dir, "documents")).where("parts > 1").select("doc_id").distinct()
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.fill_containers(table(spark, sf_dir, "documents"))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.flagged(table(spark, sf_dir, "documents")).where("not_prose").select("doc_id").distinct()
 

@@ -7,7 +7,7 @@ seeded part of them once more.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumbre.llm.tokens import VOCABULARY, token_count
@@ -65,16 +65,12 @@ def _plan(docs: DataFrame, targets: DataFrame, total: float | None, key: str, te
     plan = spark.createDataFrame(rows, "source string, available long, docs long, target_share double, max_repeats int, goal double, whole int")
     plan = plan.withColumn("part", F.greatest(F.col("goal") - F.col("whole") * F.col("available"), F.lit(0.0)))
     placed = sizes.withColumn("h", F.xxhash64(F.lit(seed), F.col(key), "source")).withColumn("range", F.shiftright("h", 52))  # 4096 ranges of the order
-    sums = placed.groupBy("source", "range").agg(F.sum("tokens").alias("held"))
-    below = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a source
-    sums = sums.withColumn("before", F.coalesce(F.sum("held").over(below), F.lit(0))).drop("held")
-    rows = placed.join(sums, ["source", "range"]).join(F.broadcast(plan), "source")
+    rows = placed.join(F.broadcast(plan), "source").withColumn("once", F.lit(False))
     sure = (F.col("whole") < F.col("max_repeats")) & (F.col("part") > 0)
-    upto = F.col("before") + F.sum("tokens").over(Window.partitionBy("source", "range").orderBy("h", key).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("once", sure & (upto <= F.col("part")))
+    for _ in range(2):  # a second run passes over the texts too large for what the first left open
+        rows = _run(rows, key, sure)
+    rows = _with_gap(rows)
     # The text that comes closest to filling what the run of whole texts leaves open.
-    gaps = rows.groupBy("source").agg((F.first("part") - F.sum(F.when(F.col("once"), F.col("tokens")).otherwise(0))).alias("gap"))
-    rows = rows.join(F.broadcast(gaps), "source")
     off = F.abs(F.col("gap") - F.col("tokens"))
     closest = rows.where(sure & ~F.col("once") & (off < F.col("gap"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("h"), F.col(key).alias("extra"))).alias("x"))
     rows = rows.join(F.broadcast(closest.select("source", F.col("x.extra").alias("_extra"), F.col("x.h").alias("_h"))), "source", "left")
@@ -83,6 +79,23 @@ def _plan(docs: DataFrame, targets: DataFrame, total: float | None, key: str, te
     return rows.where(F.col("times") > 0).select(key, "source", "tokens", F.col("times").cast("int").alias("times")), plan
 
 
+def _with_gap(rows: DataFrame) -> DataFrame:
+    """``rows`` with what their source still lacks of its part."""
+    gaps = rows.groupBy("source").agg((F.first("part") - F.sum(F.when(F.col("once"), F.col("tokens")).otherwise(0))).alias("gap"))
+    return rows.drop("gap").join(F.broadcast(gaps), "source")  # a row for each source of the settings
+
+
+def _run(rows: DataFrame, key: str, sure: Column) -> DataFrame:
+    """Marks, in the seeded order, the texts that fit one after another in what their source lacks."""
+    rows = _with_gap(rows).withColumn("size", F.when(sure & ~F.col("once") & (F.col("tokens") <= F.col("gap")), F.col("tokens")))
+    sums = rows.groupBy("source", "range").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("held"))
+    below = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a source
+    sums = sums.withColumn("before", F.coalesce(F.sum("held").over(below), F.lit(0))).drop("held")
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("source", "range").orderBy("h", key).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(sums, ["source", "range"]).withColumn("upto", upto)
+    return rows.withColumn("once", F.col("once") | F.coalesce(F.col("size").isNotNull() & (F.col("upto") <= F.col("gap")), F.lit(False))).drop("size", "before", "upto")
+
+
 def report(
     docs: DataFrame, targets: DataFrame, total: float | None = None, key: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY, seed: int = 7
 ) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import mixture, pack, quality, ranking, repeated, split, template
+from lumbre.llm import language, mixture, pack, quality, ranking, repeated, split, template
 from lumbre.plans.tables import table
 
 SCORES = ["lsi_score", "lexical_overlap", "title_match"]
@@ -26,6 +26,29 @@ def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated.without_lines(docs, repeated.repeated_lines(docs, F.col("doc_id"))).select("seq", "content")
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_set, record_key, label, segments): the articles of crawled documents, and reviews, with their languages."""
+    docs = table(spark, sf_dir, "crawled_documents")
+    model = language.fit(table(spark, sf_dir, "documents"))
+    pages = template.articles(docs).join(docs.select("seq", "language"), "seq")
+    crawled = pages.select(F.lit("crawled_documents").alias("record_set"), F.col("seq").alias("record_key"), F.col("language").alias("label"), F.col("article").alias("text"))
+    reviews = table(spark, sf_dir, "new_york_hotels_reviews")
+    reviews = reviews.select(F.lit("new_york_hotels_reviews").alias("record_set"), F.col("review_id").alias("record_key"), F.lit(None).cast("string").alias("label"), F.col("review_text").alias("text"))
+    return language.segments(crawled.unionByName(reviews), model)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language.languages(_labelled(spark, sf_dir)).withColumn("code", language.label_code(F.col("label")))
+    alone = lambda code: F.col("langs") == F.array(code)
+    right = F.when(F.col("record_set") == "crawled_documents", F.col("code").isNotNull() & alone(F.col("code"))).otherwise(alone(F.lit("en")))
+    return rows.where(~right & (F.size("langs") > 0)).select("record_set", "record_key", F.explode("langs").alias("lang")).distinct()
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = language.languages(_labelled(spark, sf_dir))
+    return rows.select("record_set", "record_key", "main", F.col("confidence").alias("main_confidence"), F.posexplode("segments").alias("segment_no", "s")).select("record_set", "record_key", "main", "main_confidence", "segment_no", "s.*")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.oversized(table(spark, sf_dir, "crawled_documents"))
 

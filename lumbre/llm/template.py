@@ -55,10 +55,11 @@ def word_vectors(pages: DataFrame) -> DataFrame:
 
 def equivalence_classes(vectors: DataFrame, sizes: DataFrame) -> DataFrame:
     """(site, word, n, cid, members): words with their class; cid and members are null where the class isn't frequent or large enough."""
-    cls = vectors.groupBy("site", "fp", "fs", "n").agg(F.count("*").alias("members"), F.first("lw").alias("clw"))
-    cls = cls.join(sizes, "site").where((F.col("n") >= F.col("pages") * MIN_SHARE) & (F.col("members") * F.col("n") >= MIN_COVER * F.col("clw")))
-    cls = cls.select("site", "fp", "fs", "n", "members", F.xxhash64("site", "fp", "fs").alias("cid"))
-    return vectors.select("site", "word", "n", "fp", "fs").join(cls, ["site", "fp", "fs", "n"], "left").select("site", "word", "n", "cid", "members")
+    cls = vectors.groupBy("site", "fp", "fs", "n").agg(F.collect_list("word").alias("words"), F.first("lw").alias("clw"))  # at most the words of one line
+    members = F.size("words")
+    valid = (F.col("n") >= F.col("pages") * MIN_SHARE) & (members * F.col("n") >= MIN_COVER * F.col("clw"))
+    cls = cls.join(sizes, "site").select("site", "n", F.when(valid, F.xxhash64("site", "fp", "fs")).alias("cid"), F.when(valid, members).alias("members"), "words")
+    return cls.select("site", F.explode("words").alias("word"), "n", "cid", "members")
 
 
 _SPLIT, _MARKS = re.compile(r"[^\W\d_]+"), re.compile("[̀-ͯ]+")
@@ -92,7 +93,7 @@ def _label(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 def class_lines(pages: DataFrame) -> DataFrame:
     """(site, page, lines): the non-blank lines of each page with the classes in them. A host's pages are dealt to chunks, so no task holds a whole host."""
-    sizes = pages.groupBy("site").agg(F.count("*").alias("pages"))
+    sizes = materialise(pages.groupBy("site").agg(F.count("*").alias("pages")), "sizes")
     chunks = F.ceil(F.col("pages") / CHUNK).cast("int")
     words = materialise(equivalence_classes(word_vectors(pages), sizes), "vectors")
     left = pages.join(sizes, "site").select("site", "page", "text", F.pmod(F.xxhash64("page"), chunks).cast("int").alias("chunk"))

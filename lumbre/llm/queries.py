@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbre.llm import language, mixture, pack, quality, ranking, repeated, split, template
-from lumbre.plans.tables import table
+from lumbre.llm import language, mixture, neardup, pack, quality, ranking, repeated, split, template
+from lumbre.plans.tables import materialise, table
 
 SCORES = ["lsi_score", "lexical_overlap", "title_match"]
 
@@ -57,6 +57,22 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_texts(table(spark, sf_dir, "crawled_documents"))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(record_set, key, text): the articles of crawled documents, and reviews."""
+    pages = materialise(template.articles(table(spark, sf_dir, "crawled_documents")), "articles")
+    pages = pages.select(F.lit("crawled_documents").alias("record_set"), F.col("seq").alias("key"), F.col("article").alias("text"))
+    reviews = table(spark, sf_dir, "new_york_hotels_reviews")
+    return pages.unionByName(reviews.select(F.lit("new_york_hotels_reviews").alias("record_set"), F.col("review_id").alias("key"), F.col("review_text").alias("text")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.record_pairs(_records(spark, sf_dir))
+
+
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(_records(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.first_of_each(table(spark, sf_dir, "search_results"), ["system", "query_id"], "doc_id", SCORES)
 

@@ -38,8 +38,7 @@ FACT = re.compile(r"^\s*[^\W\d_]{3,}(?:\s[^\W\d_]+){0,2}\s?:.*\d")
 
 def _words(line: Column) -> Column:
     """Distinct words of letters, in lower case."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(line), r"\p{M}+", ""), r"[^\p{L}]+", " ")
-    return F.array_distinct(F.filter(F.split(bare, " "), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(line), r"[^\p{L}]+"), lambda w: w != ""))
 
 
 def word_vectors(pages: DataFrame) -> DataFrame:
@@ -62,30 +61,32 @@ def equivalence_classes(vectors: DataFrame, sizes: DataFrame) -> DataFrame:
     return cls.select("site", F.explode("words").alias("word"), "n", "cid", "members")
 
 
-_SPLIT, _MARKS = re.compile(r"[^\W\d_]+"), re.compile("[̀-ͯ]+")
+_SPLIT = re.compile(r"[^\W\d_]+")
 
 
 def _label(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """The classes in each line of the pages of one chunk of a host."""
-    nan = float("nan")
-    stat = {w: (n, c, m) for w, n, c, m in zip(right["word"], right["n"].tolist(), right["cid"].tolist(), right["members"].tolist())}
-    class_n = {c: n for n, c, m in stat.values() if m == m and m is not None}
-    out, none = [], (0, None, nan)
+    count = dict(zip(right["word"], right["n"].tolist()))
+    classed = right[right["cid"].notna()]
+    member = {w: (int(c), n, int(m)) for w, c, n, m in zip(classed["word"], classed["cid"], classed["n"].tolist(), classed["members"].tolist())}
+    out = []
     for page, text in zip(left["page"], left["text"]):
         rows = []
         for no, line in enumerate(text.split("\n"), 1):
             if not line.strip():
                 continue
-            words = set(_SPLIT.findall(_MARKS.sub("", line.lower())))
-            hits = [stat.get(w, none) for w in words]
-            classes = {c: m for _, c, m in hits if m == m and m is not None}
+            words = set(_SPLIT.findall(line.lower()))
+            classes = {x[0]: x for x in map(member.get, words) if x}
             cids, plain, cover = sorted(classes), [], []
+            if cids:
+                counts = [count.get(w, 0) for w in words]
             for c in cids:
-                floor = SLOT_PART * class_n[c]
-                fixed = sum(n >= floor for n, _, _ in hits)
-                plain.append(fixed == len(hits))
-                cover.append(classes[c] / fixed)
-            rows.append({"no": no, "cids": [int(c) for c in cids], "plain": plain, "cover": cover, "strong": [int(c) for c, part in zip(cids, cover) if part >= MIN_LINE_COVER], "fact": bool(FACT.match(line))})
+                _, n, m = classes[c]
+                fixed = sum(k >= SLOT_PART * n for k in counts)
+                plain.append(fixed == len(counts))
+                cover.append(m / fixed)
+            strong = [c for c, part in zip(cids, cover) if part >= MIN_LINE_COVER]
+            rows.append({"no": no, "cids": cids, "plain": plain, "cover": cover, "strong": strong, "fact": bool(cids and FACT.match(line))})
         out.append((page, rows))
     site = left["site"].iloc[0] if len(left) else None
     return pd.DataFrame({"site": [site] * len(out), "page": [p for p, _ in out], "lines": [r for _, r in out]})
@@ -97,7 +98,7 @@ def class_lines(pages: DataFrame) -> DataFrame:
     chunks = F.ceil(F.col("pages") / CHUNK).cast("int")
     words = materialise(equivalence_classes(word_vectors(pages), sizes), "vectors")
     left = pages.join(sizes, "site").select("site", "page", "text", F.pmod(F.xxhash64("page"), chunks).cast("int").alias("chunk"))
-    right = words.join(sizes, "site").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("site", "word", "n", "cid", "members", "chunk")
+    right = words.join(sizes, "site").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("site", "word", "n", F.col("cid").cast("string").alias("cid"), "members", "chunk")  # pandas would turn null longs to floats
     return left.groupBy("site", "chunk").cogroup(right.groupBy("site", "chunk")).applyInPandas(_label, f"site string, page long, lines {LINES}")
 
 

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from lumbre import problems
+
+QUERIES: dict = {**problems.QUERIES}
 ORACLE: dict = {}

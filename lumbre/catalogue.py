@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lumbre import problems
+from lumbre.plans import retrieval
 
-QUERIES: dict = {**problems.QUERIES}
-ORACLE: dict = {}
+QUERIES = {**retrieval.QUERIES, **problems.QUERIES}
+ORACLE = dict(retrieval.ORACLE)

@@ -66,7 +66,7 @@ def above_threshold(scored: DataFrame, k: int, threshold: float = THRESHOLD) ->
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n+"), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, r"\n+"), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def best_snippet(summary: Column, content: Column, query: Column, tokenise) -> Column:
@@ -80,7 +80,7 @@ def best_snippet(summary: Column, content: Column, query: Column, tokenise) -> C
 
 def segments(docs: DataFrame) -> DataFrame:
     """(doc_id, seg_no, segment): the summary, then paragraphs; those over 360 characters as their sentences of 50 characters and more."""
-    long = F.filter(F.transform(F.split(F.element_at(F.array(F.col("p")), 1), r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) >= 50)
+    long = F.filter(F.transform(F.split(F.element_at(F.array(F.col("p")), 1), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) >= 50)
     rows = docs.select("doc_id", F.coalesce("summary", F.lit("")).alias("summary"), F.posexplode_outer(paragraphs(F.col("content"))).alias("at", "p"))
     rows = rows.withColumn("parts", F.when(F.col("p").isNull(), F.array().cast("array<string>")).when(F.length("p") <= 360, F.array("p")).otherwise(long))
     lead = F.when((F.col("summary") != "") & (F.coalesce("at", F.lit(0)) == 0), F.array(F.struct(F.lit(-1).alias("i"), F.col("summary").alias("s")))).otherwise(F.array().cast("array<struct<i:int,s:string>>"))

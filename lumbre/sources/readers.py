@@ -100,16 +100,17 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
     """Records of a JSONL file in ``schema``. Tolerant: blank and malformed lines are skipped. Strict: they raise."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    record = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select(record.alias("r")).where(F.col("r").isNotNull() & F.col("r._corrupt_record").isNull()).select("r.*").drop("_corrupt_record")
 
 
 def csv_rows(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """A CSV file with a header: short rows are padded with nulls, rows with too many fields are left out."""
     head = spark.read.option("header", True).option("multiLine", True).option("sep", delimiter).option("escape", '"').csv(path)
     names = head.columns
-    schema = ", ".join(f"`{n}` string" for n in names) + ", _more string, _corrupt_record string"
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("sep", delimiter).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
+    schema = ", ".join(f"`{n}` string" for n in names) + ", _more string"
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("multiLine", True).option("sep", delimiter).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
     return rows.where(F.col("_more").isNull()).select(names).toDF(*[n.replace("﻿", "") for n in names])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumbre.functions.timestamps import let
+
 LIMIT, OVERLAP = 4000, 200
 
 
@@ -25,15 +27,13 @@ def pieces(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
     if limit < 1 or overlap < 0 or 3 * overlap > limit:
         raise ValueError("limit must be positive and overlap between 0 and a third of it")
     bodies = F.regexp_extract_all(text, F.lit(boundary_pattern(limit - overlap)), F.lit(0))
-    sizes = F.transform(bodies, F.length)
-    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    cut = F.transform(
-        bodies,
-        lambda b, i: F.struct(
-            F.concat(F.when(i > 0, F.right(F.element_at(bodies, F.greatest(i, F.lit(1))), F.lit(overlap))).otherwise(""), b).alias("text"),
-            (F.element_at(ends, i + 1) - F.when(i > 0, F.lit(overlap)).otherwise(0)).alias("start"),
-        ),
+    before = lambda b: F.concat(F.array(F.lit("")), F.transform(F.slice(b, 1, F.size(b) - 1), lambda x: F.right(x, F.lit(overlap))))
+    ends = lambda b: F.aggregate(b, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    join = lambda b: F.transform(
+        F.arrays_zip(b.alias("b"), before(b).alias("lead"), F.slice(ends(b), 1, F.size(b)).alias("at")),
+        lambda x: F.struct(F.concat(x["lead"], x["b"]).alias("text"), (x["at"] - F.length(x["lead"])).alias("start")),
     )
+    cut = let(bodies, lambda b: F.when(F.size(b) > 0, join(b)))
     return F.when(F.length(text) <= limit, F.array(F.struct(text.alias("text"), F.lit(0).alias("start")))).otherwise(cut)
 
 

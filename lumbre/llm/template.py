@@ -3,7 +3,7 @@
 Equivalence classes of tokens: on one host, words whose occurrence vectors are equal, that is, which stand in exactly the same lines of the
 host's pages, form a class. The vector of a word is held as an order-free fingerprint (xor and sum of line hashes), so grouping needs one
 aggregation and no list of pages. A class is valid if it is frequent enough and covers enough of the fixed words of its lines; words much
-rarer than the class are its data slots. Classes nest in the page's template: those that stand directly above content and have no slots
+rarer than the class are its data slots. Classes nest in the page's template: those that stand between content, directly above it, and have no slots
 (headings), and label-number lines (facts) belong to the main body's region, all others to the page around it. Lines that hold none of
 these outer classes are the slots left over: the article.
 """
@@ -27,8 +27,8 @@ MIN_COVER, MIN_FIXED_COVER = 0.06, 0.2
 MIN_LINE_COVER = 0.12
 #: A word in less than this part of a class's lines is a slot of it.
 SLOT_PART = 0.2
-#: A class is a heading if this part of its lines stands directly above content and half of them have no slot.
-ABOVE_CONTENT, WITHOUT_SLOT = 0.7, 0.5
+#: A class is a heading if this part of its lines stands directly above content, some stand below content too, and half of them have no slot.
+ABOVE_CONTENT, BELOW_CONTENT, WITHOUT_SLOT = 0.7, 0.1, 0.5
 #: Pages of a host that one task holds.
 CHUNK = 4000
 
@@ -125,13 +125,13 @@ def _invalid(lines: DataFrame) -> DataFrame:
 def _nested(lines: DataFrame, ignored: DataFrame) -> DataFrame:
     """(site, ignored): those ignored so far and the classes nested in the main body."""
     rows = _with(lines, ignored).withColumn("outer", _outer(F.col("lines"), F.col("ignored")))
-    above = lambda i: F.coalesce(~F.try_element_at("outer", i + 2), F.lit(False))
-    rows = rows.select("site", F.explode(F.transform("lines", lambda x, i: F.struct(x.alias("x"), above(i).alias("above")))).alias("r"))
-    each = rows.select("site", "r.above", "r.x.fact", F.explode(F.arrays_zip("r.x.cids", "r.x.plain")).alias("c"))
+    content = lambda i: F.coalesce(~F.get("outer", i), F.lit(False))
+    rows = rows.select("site", F.explode(F.transform("lines", lambda x, i: F.struct(x.alias("x"), content(i + 1).alias("above"), content(i - 1).alias("below")))).alias("r"))
+    each = rows.select("site", "r.above", "r.below", "r.x.fact", F.explode(F.arrays_zip("r.x.cids", "r.x.plain")).alias("c"))
     share = lambda c: F.avg(c.cast("int"))
     plain = F.col("c.plain")
-    stats = each.groupBy("site", F.col("c.cids").alias("cid")).agg(share(F.col("above")).alias("above"), share(plain).alias("plain"), share(F.col("fact") & plain).alias("fact"))
-    found = stats.where(((F.col("above") >= ABOVE_CONTENT) & (F.col("plain") >= WITHOUT_SLOT)) | (F.col("fact") >= ABOVE_CONTENT)).select("site", "cid")
+    stats = each.groupBy("site", F.col("c.cids").alias("cid")).agg(share(F.col("above")).alias("above"), share(F.col("below")).alias("below"), share(plain).alias("plain"), share(F.col("fact") & plain).alias("fact"))
+    found = stats.where(((F.col("above") >= ABOVE_CONTENT) & (F.col("below") >= BELOW_CONTENT) & (F.col("plain") >= WITHOUT_SLOT)) | (F.col("fact") >= ABOVE_CONTENT)).select("site", "cid")
     return _per_site(found.union(ignored.select("site", F.explode("ignored"))))
 
 

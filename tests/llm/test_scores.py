@@ -155,6 +155,6 @@ def test_quality(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_words", F.lit(1)).withColumn("grid", F.lit(1))
     got = {r.doc_id: r for r in quality.flagged(docs).collect()}
     assert {k for k, r in got.items() if r.not_prose} == {1000 + i for i in range(len(JUNK))} | {2001, 2003}
-    assert len(got) == len(rows) and got[2000].n_words is None and got[2000].tails == [] and got[0].n_words == 23 and got[2001].n_words == 0
+    assert len(got) == len(rows) and got[2000].n_words is None and got[2000].tails == [] and got[0].n_words == 25 and got[2001].n_words == 0
     assert got[0].line_end_punctuation == 1 and 0 <= got[0].symbol_ratio_pct <= 1 and "symbol_ratio:high" in got[1006].tails
     assert quality.flagged(docs.limit(0)).count() == 0

@@ -61,21 +61,32 @@ def equivalence_classes(vectors: DataFrame, sizes: DataFrame) -> DataFrame:
     return cls.select("site", F.explode("words").alias("word"), "n", "cid", "members")
 
 
-_SPLIT = re.compile(r"[^\W\d_]+")
+_WIDE = re.compile(r"[^\x00-\x7f]+")
+_KEEP = bytes(c if c >= 128 or chr(c).isalpha() or c == 10 else 32 for c in range(256))
+
+
+def _line_words(text: str) -> list[list[bytes]]:
+    """Words of letters, in lower case, of each line."""
+    low = text.lower()
+    if not low.isascii():
+        low = _WIDE.sub(lambda m: "".join(c if c.isalpha() else " " for c in m[0]), low)
+    return [line.split() for line in low.encode().translate(_KEEP).split(b"\n")]
 
 
 def _label(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """The classes in each line of the pages of one chunk of a host."""
-    count = dict(zip(right["word"], right["n"].tolist()))
+    encoded = [w.encode() for w in right["word"]]
+    right = right.assign(word=encoded)
+    count = dict(zip(encoded, right["n"].tolist()))
     classed = right[right["cid"].notna()]
     member = {w: (int(c), n, int(m)) for w, c, n, m in zip(classed["word"], classed["cid"], classed["n"].tolist(), classed["members"].tolist())}
     out = []
     for page, text in zip(left["page"], left["text"]):
         rows = []
-        for no, line in enumerate(text.split("\n"), 1):
+        for no, (line, found) in enumerate(zip(text.split("\n"), _line_words(text)), 1):
             if not line.strip():
                 continue
-            words = set(_SPLIT.findall(line.lower()))
+            words = set(found)
             classes = {x[0]: x for x in map(member.get, words) if x}
             cids, plain, cover = sorted(classes), [], []
             if cids:

@@ -115,3 +115,14 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "p" and name[1].isdigit()}
+
+_SITE = r"regexp_replace(regexp_extract(lower(coalesce(url, '')), '^\s*(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]*)', 1), '^(www|m)\.', '')"
+ORACLE = {
+    "p1_found": rf"""WITH docs AS (SELECT seq, doc_id, {_SITE} AS site, content FROM crawled_documents WHERE trim(regexp_replace(content, '\s+', ' ', 'g')) <> ''),
+        lines AS (SELECT seq, doc_id, site, no, lower(regexp_replace(line, '[^\p{{L}}]+', '', 'g')) AS k FROM
+            (SELECT seq, doc_id, site, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS no FROM docs)),
+        found AS (SELECT site, k FROM lines JOIN (SELECT site, count(DISTINCT doc_id) AS n FROM docs GROUP BY site) USING (site) WHERE k <> '' GROUP BY site, k, n
+            HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) >= 0.15 * n)
+        SELECT DISTINCT seq, no::BIGINT AS line_no FROM lines JOIN found USING (site, k)""",
+    "p3_found": "SELECT DISTINCT seq FROM crawled_documents WHERE length(content) > 4000",
+}

@@ -66,6 +66,7 @@ def normalise(records: DataFrame, strict: bool = True) -> DataFrame:
     have none either. Sources of any size are cut to blocks of ``BLOCK`` keys; the ``LEAD`` keys before a block are read with it, which gives the choice of the whole
     chain if one of them has a single reading.
     """
+    records = records.select("field_name", "record_key", "source", "value", "zone", "month_first")
     order = F.coalesce("month_first", F.lit(False)) if strict else F.lit(None).cast("boolean")
     got = let(parts(F.col("value")), lambda p: readings(p, F.col("zone"), order))
     rows = materialise(records.withColumn("zone", valid_zone(F.col("zone"))).withColumn("readings", F.coalesce(got, F.array().cast(READINGS))), "readings")

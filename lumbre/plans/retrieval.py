@@ -171,7 +171,7 @@ def tfidf_cosine_topk(spark, d):
     return index.top(_cosines(docs(spark, d), QUERY), 10)
 
 
-@query(f"""WITH {ES} SELECT doc_id, term, sum(w) AS freq FROM (SELECT doc_id, 3 AS w, unnest({_words_sql("title")}) AS term FROM docs UNION ALL SELECT doc_id, 1, unnest({_words_sql("text")}) FROM docs) GROUP BY ALL""")
+@query(f"""WITH {ES} SELECT doc_id, term, sum(w)::BIGINT AS freq FROM (SELECT doc_id, 3 AS w, unnest({_words_sql("title")}) AS term FROM docs UNION ALL SELECT doc_id, 1, unnest({_words_sql("text")}) FROM docs) GROUP BY ALL""")
 def weighted_field_tokens(spark, d):
     rows = spanish(spark, d).select("doc_id", words(F.col("title")).alias("title"), words(F.col("text")).alias("content"))
     return index.weighted_fields(rows, {"title": 3, "content": 1})

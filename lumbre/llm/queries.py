@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumbre import problems
 from lumbre.llm import language, mixture, neardup, pack, quality, ranking, repeated, split, template
+from lumbre.operators import timeline
 from lumbre.plans.tables import materialise, table
 
 SCORES = ["lsi_score", "lexical_overlap", "title_match"]
@@ -15,15 +17,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated.repeated_lines(table(spark, sf_dir, "crawled_documents"), F.col("doc_id"))
 
 
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, doc_id, url, content, cluster, day): crawled documents with the cluster of their article and the normalised day of their review."""
+    docs = table(spark, sf_dir, "crawled_documents").select("seq", "doc_id", "url", "content")
+    dates = timeline.normalise(problems._timestamps(spark, sf_dir).where("field_name = 'review_date'"))
+    days = dates.groupBy(F.col("record_key").alias("seq")).agg(F.min(F.substring("utc_form", 1, 10)).alias("day"))
+    return docs.join(repeated.article_clusters(docs), "seq", "left").join(days, "seq", "left")
+
+
 def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of at least two publication dates, with documents of the same letters counted once."""
-    docs = table(spark, sf_dir, "crawled_documents")
-    return repeated.repeated_lines(docs, repeated.same_text(docs), F.col("review_date"), min_dates=2)
+    """Lines of at least two publication dates, with documents of near-duplicate articles counted once."""
+    return repeated.repeated_lines(materialise(_clustered(spark, sf_dir), "clustered"), F.col("cluster"), F.col("day"), min_dates=2)
 
 
 def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "crawled_documents").select("seq", "doc_id", "url", "content")
-    return repeated.without_lines(docs, repeated.repeated_lines(docs, F.col("doc_id"))).select("seq", "content")
+    docs = materialise(_clustered(spark, sf_dir), "clustered")
+    return repeated.without_lines(docs, repeated.repeated_lines(docs, F.col("cluster"), F.col("day"), min_dates=2)).select("seq", "content")
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,24 @@ def test_copies_count_once(spark):
     assert {r.seq for r in repeated.repeated_lines(docs, repeated.same_text(docs), F.col("review_date"), min_dates=5).collect()} == set(range(10, 20))
 
 
+def test_republished_articles_count_once(spark):
+    """Under other addresses, bylines and related links an article is still one cluster."""
+    story = "\n".join(" ".join(f"wort{chr(97 + n)}{chr(97 + i)}" for i in range(12)) for n in range(4))
+    rows = [(f"d{i}", f"https://a.example/{i}", f"Von Autor {'v' * (i + 1)}\n{story}\nMehr zu {'m' * (i + 1)}") for i in range(10)]
+    rows += [(f"o{i}", f"https://a.example/o{i}", f"Anderes {'y' * (i + 1)}\nFusszeile") for i in range(10)]
+    docs = _docs(spark, rows)
+    docs = docs.join(repeated.article_clusters(docs), "seq")
+    assert docs.where("seq < 10").select("cluster").distinct().count() == 1
+    assert {r.seq for r in repeated.repeated_lines(docs, F.col("cluster")).collect()} == set(range(10, 20))
+
+
+def test_no_date_is_not_a_date(spark):
+    rows = [(f"o{i}", f"https://a.example/o{i}", f"Anderes {'y' * (i + 1)}\nFusszeile") for i in range(10)]
+    date = F.when(F.col("seq") % 2 == 0, F.lit("2020-01-01"))
+    assert repeated.repeated_lines(_docs(spark, rows), F.col("doc_id"), date, min_dates=2).count() == 0
+    assert repeated.repeated_lines(_docs(spark, rows), F.col("doc_id"), date, min_dates=1).count() == 10
+
+
 def test_lines_removed(spark):
     rows = _corpus()
     docs = _docs(spark, rows)

@@ -116,11 +116,12 @@ def passage_score(doc_score: Column, shared: Column, n_query: Column, n_segment:
 def best_passages(docs: DataFrame, query: list[str], tokenise, limit: int = 1) -> DataFrame:
     """(doc_id, citation_id, title, passage, score): each document's best segments for a query's words.
 
-    Input: doc_id, citation_id, title, score, summary, content. Segments alike but for case count once; those that share no word with the query are left out
+    Input: doc_id, citation_id, title, score, summary, content, and what ``tokenise`` reads (as the language). Segments alike but for case count once; those that share no word with the query are left out
     unless the title does.
     """
     active = focus(F.array(*map(F.lit, query))) if query else F.array().cast("array<string>")
-    parts = segments(docs).join(docs.select("doc_id", "citation_id", "title", F.col("score").alias("doc_score")), "doc_id")
+    known = ("summary", "content", "score")
+    parts = segments(docs).join(docs.select(*[c for c in docs.columns if c not in known], F.col("score").alias("doc_score")), "doc_id")
     parts = parts.where(useful(F.col("segment"), F.col("title"))).withColumn("passage", squeeze_bullets(F.col("segment")))
     first = Window.partitionBy("doc_id", F.lower("passage")).orderBy("seg_no")
     parts = parts.withColumn("again", F.row_number().over(first)).where("again = 1")

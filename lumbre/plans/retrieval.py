@@ -12,7 +12,6 @@ from lumbre.plans.tables import materialise, table
 
 QUERY = ["playa", "hotel", "piscinas", "naturales", "rocas"]
 QUERY_TEXT = "playa con hotel y piscinas naturales entre las rocas"
-MAIN = "es"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +21,9 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("tokens", T.without_stopwords(T.tokens(F.col("cleaned")), T.language_name(F.col("lang"))))
 
 
-def spanish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).where(F.col("lang") == MAIN)
-
-
 def words(text: Column) -> Column:
-    return T.without_stopwords(T.tokens(T.clean(text)), F.lit("spanish"))
+    """Tokens of a text of a row, without the stop words of the row's language."""
+    return T.without_stopwords(T.tokens(T.clean(text)), T.language_name(F.col("lang")))
 
 
 def _list(ws: list[str]) -> str:
@@ -42,11 +38,10 @@ DOCS = f"""docs AS (SELECT *, {_TOK} AS tokens FROM (SELECT doc_id, text, lang,
 TF = "tf AS (SELECT doc_id, term, count(*) AS freq FROM (SELECT doc_id, unnest(tokens) AS term FROM docs) GROUP BY ALL)"
 IDF = "idf AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM docs)::DOUBLE / count(*)) AS idf FROM tf GROUP BY term)"
 W = "w AS (SELECT doc_id, term, freq, (0.5 + 0.5 * freq / max(freq) OVER (PARTITION BY doc_id)) * idf AS weight FROM tf JOIN idf USING (term))"
-ES = DOCS.replace("FROM documents))", "FROM documents WHERE lang = 'es'))")
 
 
 def _words_sql(text: str) -> str:
-    return f"list_filter(list_filter(string_split({_CLEAN.format(text)}, ' '), lambda w: length(w) >= 2), lambda w: NOT list_contains({_list(T.STOPWORDS['spanish'])}, w))"
+    return f"list_filter(list_filter(string_split({_CLEAN.format(text)}, ' '), lambda w: length(w) >= 2), lambda w: NOT list_contains(stop, w))"
 
 
 def _flat(text: str) -> str:
@@ -171,9 +166,9 @@ def tfidf_cosine_topk(spark, d):
     return index.top(_cosines(docs(spark, d), QUERY), 10)
 
 
-@query(f"""WITH {ES} SELECT doc_id, term, sum(w)::BIGINT AS freq FROM (SELECT doc_id, 3 AS w, unnest({_words_sql("title")}) AS term FROM docs UNION ALL SELECT doc_id, 1, unnest({_words_sql("text")}) FROM docs) GROUP BY ALL""")
+@query(f"""WITH {DOCS} SELECT doc_id, term, sum(w)::BIGINT AS freq FROM (SELECT doc_id, 3 AS w, unnest({_words_sql("title")}) AS term FROM docs UNION ALL SELECT doc_id, 1, unnest({_words_sql("text")}) FROM docs) GROUP BY ALL""")
 def weighted_field_tokens(spark, d):
-    rows = spanish(spark, d).select("doc_id", words(F.col("title")).alias("title"), words(F.col("text")).alias("content"))
+    rows = docs(spark, d).select("doc_id", words(F.col("title")).alias("title"), words(F.col("text")).alias("content"))
     return index.weighted_fields(rows, {"title": 3, "content": 1})
 
 
@@ -190,17 +185,17 @@ def fallback_search(rows: DataFrame, given: list[str], k: int) -> DataFrame:
 _SHARED = "length(list_distinct(list_intersect({0}, {1})))"
 
 
-@query(f"""WITH {ES}, {TF}, {IDF}, {W}, {_Q}, {_COS}, pool AS (SELECT doc_id, round(score, 6) AS score FROM cos ORDER BY 2 DESC, 1 LIMIT 24),
+@query(f"""WITH {DOCS}, {TF}, {IDF}, {W}, {_Q}, {_COS}, pool AS (SELECT doc_id, round(score, 6) AS score FROM cos ORDER BY 2 DESC, 1 LIMIT 24),
     s AS (SELECT doc_id, round(score + 1.1 * {_SHARED.format(_list([w for w in QUERY if w not in search.GENERIC]), _words_sql("title"))} + 0.18 * {_SHARED.format(_list([w for w in QUERY if w not in search.GENERIC]), "tokens")}, 6) AS score FROM pool JOIN docs USING (doc_id) WHERE score > 0)
     SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM s ORDER BY score DESC, doc_id LIMIT 4""")
 def tfidf_fallback_search(spark, d):
-    return fallback_search(spanish(spark, d), QUERY, 4)
+    return fallback_search(docs(spark, d), QUERY, 4)
 
 
-@query(f"""WITH {ES} SELECT doc_id, array_to_string(list_sort(CASE WHEN length(rest) > 0 THEN rest ELSE all_words END), ' ') AS focus FROM
+@query(f"""WITH {DOCS} SELECT doc_id, array_to_string(list_sort(CASE WHEN length(rest) > 0 THEN rest ELSE all_words END), ' ') AS focus FROM
     (SELECT doc_id, list_distinct(t) AS all_words, list_distinct(list_filter(t, lambda w: NOT list_contains({_list(search.GENERIC)}, w))) AS rest FROM (SELECT doc_id, {_words_sql("title")} AS t FROM docs))""")
 def focus_tokens(spark, d):
-    return spanish(spark, d).select("doc_id", F.array_join(F.array_sort(search.focus(words(F.col("title")))), " ").alias("focus"))
+    return docs(spark, d).select("doc_id", F.array_join(F.array_sort(search.focus(words(F.col("title")))), " ").alias("focus"))
 
 
 _CHUNK = r"""c AS (SELECT doc_id, ws, unnest(generate_series(0, greatest(ceil((length(ws) - 120) / 90.0), 0)::BIGINT)) AS no FROM
@@ -217,11 +212,12 @@ def chunk_stats(spark, d):
     return vectors.chunks(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("n_words").alias("words"))
 
 
-def _vector(spark, d) -> list[float]:
-    return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 7").first()["embedding"]]
+def _asked(spark, d) -> DataFrame:
+    """The query set of vector searches: every row whose id is divisible by 100."""
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-_VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), t AS (SELECT e AS te FROM v WHERE vec_id = 7)"
+_VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), t AS (SELECT vec_id AS query_id, e AS te FROM v WHERE vec_id % 100 = 0)"
 _METRICS = {
     "cosine": "list_cosine_similarity(e, te)",
     "ip": "list_inner_product(e, te)",
@@ -230,22 +226,29 @@ _METRICS = {
 
 
 def _top_sql(metric: str) -> str:
-    return f"WITH {_VEC} SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id)::INT AS rank FROM (SELECT vec_id, round({_METRICS[metric]}, 6) AS score FROM v, t ORDER BY 2 DESC, 1 LIMIT 10)"
+    return f"""WITH {_VEC}, s AS (SELECT query_id, vec_id, round({_METRICS[metric]}, 6) + 0.0 AS score FROM v, t)
+        SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10"""
 
 
 @query(_top_sql("cosine"))
 def vector_cosine_topk(spark, d):
-    return vectors.nearest(table(spark, d, "embeddings"), _vector(spark, d), 10, "cosine")
+    return vectors.nearest(table(spark, d, "embeddings"), _asked(spark, d), 10, "cosine")
 
 
 @query(_top_sql("ip"))
 def vector_ip_topk(spark, d):
-    return vectors.nearest(table(spark, d, "embeddings"), _vector(spark, d), 10, "ip")
+    return vectors.nearest(table(spark, d, "embeddings"), _asked(spark, d), 10, "ip")
 
 
 @query(_top_sql("l2"))
 def vector_l2_topk(spark, d):
-    return vectors.nearest(table(spark, d, "embeddings"), _vector(spark, d), 10, "l2")
+    return vectors.nearest(table(spark, d, "embeddings"), _asked(spark, d), 10, "l2")
+
+
+@query()
+def vector_lists_topk(spark, d):
+    """The approximate index, over all rows, for the same queries."""
+    return vectors.search_lists(vectors.build_lists(table(spark, d, "embeddings")), _asked(spark, d), 10)
 
 
 @query("SELECT vec_id, pos::INT AS pos, round(x / n, 6) AS x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)")
@@ -253,22 +256,23 @@ def vector_normalize(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.normalise(F.col("embedding"))).alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
-@query(f"""WITH {_VEC} SELECT label, score, chunk_hits, rank FROM (SELECT label, score, chunk_hits, row_number() OVER (ORDER BY score DESC, label)::INT AS rank FROM
-    (SELECT label, max(score) AS score, count(*) AS chunk_hits FROM (SELECT label, vec_id, round({_METRICS["ip"]}, 6) AS score FROM v, t ORDER BY 3 DESC, 2 LIMIT 40) GROUP BY label)) WHERE rank <= 5""")
+@query(f"""WITH {_VEC}, s AS (SELECT query_id, label, vec_id, round({_METRICS["ip"]}, 6) AS score FROM v, t),
+    p AS (SELECT query_id, label, max(score) AS score, count(*) AS chunk_hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s) WHERE n <= 40 GROUP BY query_id, label)
+    SELECT * FROM (SELECT query_id, label, score, chunk_hits, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label)::INT AS rank FROM p) WHERE rank <= 5""")
 def vector_doc_maxpool(spark, d):
-    return vectors.nearest_documents(table(spark, d, "embeddings"), _vector(spark, d), 5)
+    return vectors.nearest_documents(table(spark, d, "embeddings"), _asked(spark, d), 5)
 
 
 _OVER = f"{_SHARED.format(_list(QUERY), '{0}')} / {float(len(QUERY))}"
 
 
-@query(f"WITH {ES} SELECT doc_id, round({_OVER.format('tokens')}, 6) AS lexical_overlap FROM docs")
+@query(f"WITH {DOCS} SELECT doc_id, round({_OVER.format('tokens')}, 6) AS lexical_overlap FROM docs")
 def lexical_overlap(spark, d):
-    return spanish(spark, d).select("doc_id", F.round(search.overlap(F.array(*map(F.lit, QUERY)), F.col("tokens")), 6).alias("lexical_overlap"))
+    return docs(spark, d).select("doc_id", F.round(search.overlap(F.array(*map(F.lit, QUERY)), F.col("tokens")), 6).alias("lexical_overlap"))
 
 
 def _reranked(spark, d) -> DataFrame:
-    rows = spanish(spark, d)
+    rows = docs(spark, d)
     pool = index.top(_cosines(rows, QUERY), search.POOL)
     given = F.array(*map(F.lit, QUERY))
     both = rows.join(F.broadcast(pool.select("doc_id", F.col("score").alias("lsi"))), "doc_id")  # at most the pool
@@ -276,7 +280,7 @@ def _reranked(spark, d) -> DataFrame:
     return both.select("doc_id", F.round(score, 6).alias("score"))
 
 
-_RERANK = f"""{ES}, {TF}, {IDF}, {W}, {_Q}, {_COS}, pool AS (SELECT doc_id, round(score, 6) AS lsi FROM cos ORDER BY 2 DESC, 1 LIMIT 20),
+_RERANK = f"""{DOCS}, {TF}, {IDF}, {W}, {_Q}, {_COS}, pool AS (SELECT doc_id, round(score, 6) AS lsi FROM cos ORDER BY 2 DESC, 1 LIMIT 20),
     scored AS (SELECT doc_id, round(0.7 * lsi + 0.2 * {_OVER.format("tokens")} + 0.08 * {_OVER.format(_words_sql("title"))} + 0.02 * least(length(string_split({_flat("text")}, ' ')) / 120.0, 1), 6) AS score FROM pool JOIN docs USING (doc_id))"""
 
 
@@ -293,11 +297,11 @@ def threshold_filter(spark, d):
 _PARAS = r"list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda p: trim(p)), lambda p: p <> '')"
 
 
-@query(f"""WITH {ES}, p AS (SELECT doc_id, text, unnest({_PARAS}) AS p, generate_subscripts({_PARAS}, 1) AS i FROM docs),
+@query(f"""WITH {DOCS}, p AS (SELECT doc_id, text, stop, unnest({_PARAS}) AS p, generate_subscripts({_PARAS}, 1) AS i FROM docs),
     s AS (SELECT doc_id, text, p, i, round({_OVER.format(_words_sql("p"))} + least(length(p) / 240.0, 1) * 0.05, 9) AS score FROM p)
     SELECT doc_id, {_trunc("p")} AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS n FROM s) WHERE n = 1""")
 def best_snippet(spark, d):
-    return spanish(spark, d).select("doc_id", search.best_snippet(F.lit(None).cast("string"), F.col("text"), F.array(*map(F.lit, QUERY)), words).alias("snippet"))
+    return docs(spark, d).select("doc_id", search.best_snippet(F.lit(None).cast("string"), F.col("text"), F.array(*map(F.lit, QUERY)), words).alias("snippet"))
 
 
 @query(f"SELECT doc_id, {_trunc('text')} AS cut FROM documents")
@@ -307,10 +311,10 @@ def truncate_text(spark, d):
 
 def _retrieved(spark, d, k: int = 4) -> DataFrame:
     """The documents that the fallback search finds, in the shape that passages and prompts take."""
-    rows = spanish(spark, d)
+    rows = docs(spark, d)
     best = fallback_search(rows, QUERY, k)
     both = rows.join(F.broadcast(best), "doc_id")  # at most k
-    return both.select("doc_id", F.col("rank").alias("citation_id"), "title", "url", "score", F.lit("").alias("summary"), F.col("text").alias("content"))
+    return both.select("doc_id", "lang", F.col("rank").alias("citation_id"), "title", "url", "score", F.lit("").alias("summary"), F.col("text").alias("content"))
 
 
 _SEG = rf"""seg AS (SELECT doc_id, (i - 1) * 10000 + unnest(generate_series(0, length(parts) - 1)) AS seg_no, unnest(parts) AS segment FROM
@@ -318,9 +322,9 @@ _SEG = rf"""seg AS (SELECT doc_id, (i - 1) * 10000 + unnest(generate_series(0, l
      FROM (SELECT doc_id, unnest({_PARAS}) AS p, generate_subscripts({_PARAS}, 1) AS i FROM docs)) WHERE length(parts) > 0)"""
 
 
-@query(f"WITH {ES}, {_SEG} SELECT doc_id, seg_no::INT AS seg_no, segment FROM seg")
+@query(f"WITH {DOCS}, {_SEG} SELECT doc_id, seg_no::INT AS seg_no, segment FROM seg")
 def passage_segments(spark, d):
-    return search.segments(spanish(spark, d).select("doc_id", F.lit("").alias("summary"), F.col("text").alias("content")))
+    return search.segments(docs(spark, d).select("doc_id", F.lit("").alias("summary"), F.col("text").alias("content")))
 
 
 _BULLET = "trim(" + _flat("{0}") + ", '-• ')"
@@ -331,9 +335,9 @@ _USEFUL = f"""(length({_SEGTEXT}) >= 40 AND lower({_SEGTEXT}) NOT IN ('visitar c
     AND length({_SEGTEXT}) - length(replace({_SEGTEXT}, ':', '')) < 4)"""
 
 
-@query(f"WITH {ES}, {_SEG} SELECT doc_id, seg_no::INT AS seg_no FROM seg JOIN docs USING (doc_id) WHERE {_USEFUL}")
+@query(f"WITH {DOCS}, {_SEG} SELECT doc_id, seg_no::INT AS seg_no FROM seg JOIN docs USING (doc_id) WHERE {_USEFUL}")
 def useful_segments(spark, d):
-    rows = spanish(spark, d)
+    rows = docs(spark, d)
     parts = search.segments(rows.select("doc_id", F.lit("").alias("summary"), F.col("text").alias("content")))
     return parts.join(rows.select("doc_id", "title"), "doc_id").where(search.useful(F.col("segment"), F.col("title"))).select("doc_id", "seg_no")
 
@@ -342,13 +346,13 @@ def _found(spark, d) -> DataFrame:
     return materialise(_retrieved(spark, d), "retrieved")
 
 
-_FOUND = f"""{ES}, {TF}, {IDF}, {W}, {_Q}, {_COS}, pool AS (SELECT doc_id, round(score, 6) AS score FROM cos ORDER BY 2 DESC, 1 LIMIT 24),
+_FOUND = f"""{DOCS}, {TF}, {IDF}, {W}, {_Q}, {_COS}, pool AS (SELECT doc_id, round(score, 6) AS score FROM cos ORDER BY 2 DESC, 1 LIMIT 24),
     fs AS (SELECT doc_id, round(score + 1.1 * {_SHARED.format(_list([w for w in QUERY if w not in search.GENERIC]), _words_sql("title"))} + 0.18 * {_SHARED.format(_list([w for w in QUERY if w not in search.GENERIC]), "tokens")}, 6) AS score FROM pool JOIN docs USING (doc_id) WHERE score > 0),
     hits AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS citation_id, score FROM fs ORDER BY score DESC, doc_id LIMIT 4),
-    ret AS (SELECT doc_id, citation_id, score, title, url, text FROM hits JOIN docs USING (doc_id))"""
+    ret AS (SELECT doc_id, citation_id, score, title, url, text, stop FROM hits JOIN docs USING (doc_id))"""
 _ACTIVE = _list([w for w in QUERY if w not in search.GENERIC])
 _N = float(len([w for w in QUERY if w not in search.GENERIC]))
-_PASS = f"""{_FOUND}, {_SEG}, ps AS (SELECT doc_id, citation_id, title, score AS ds, seg_no, {_SEGTEXT} AS passage FROM seg JOIN ret USING (doc_id) WHERE {_USEFUL}),
+_PASS = f"""{_FOUND}, {_SEG}, ps AS (SELECT doc_id, citation_id, title, stop, score AS ds, seg_no, {_SEGTEXT} AS passage FROM seg JOIN ret USING (doc_id) WHERE {_USEFUL}),
     pd AS (SELECT *, list_distinct({_words_sql("passage")}) AS ws, {_SHARED.format(_ACTIVE, _words_sql("title"))} AS ts FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(passage) ORDER BY seg_no) AS again FROM ps) WHERE again = 1),
     pe AS (SELECT *, {_SHARED.format(_ACTIVE, "ws")} AS sh FROM pd),
     pf AS (SELECT doc_id, citation_id, title, passage, seg_no, round(ds + 1.2 * sh / {_N} + 0.35 * sh / greatest(length(ws), 1) + 0.12 * least(sh, 4) + 0.15 * ts + 0.2 * least(length(passage), 220) / 220.0 - CASE WHEN length(passage) < 70 THEN 0.2 ELSE 0 END, 6) AS score FROM pe WHERE ts > 0 OR sh > 0)"""
@@ -559,7 +563,7 @@ def crawl_counters(spark, d):
 
 
 def _model(spark, d, k: int = 10) -> tuple[lsi.Model, DataFrame, DataFrame]:
-    rows = materialise(spanish(spark, d).select("doc_id", "text", "title", "tokens"), "spanish")
+    rows = materialise(docs(spark, d).select("doc_id", "text", "title", "tokens"), "spanish")
     weights = materialise(index.tfidf(rows), "weights")
     return lsi.train(weights, k), rows, weights
 

@@ -30,3 +30,8 @@ def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver's JVM forget finished plans now, so that Spark deletes their shuffle files before the next large shuffle is written."""
+    spark.sparkContext._jvm.System.gc()

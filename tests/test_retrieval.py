@@ -54,14 +54,29 @@ def test_chunks_cover_all_words(spark, n):
 
 
 def test_vectors(spark):
-    rows = [(1, [1.0, 0.0], 7), (2, [0.0, 0.0], 7), (3, [1.0, 0.0], 8), (4, [0.0, -2.0], 9)]
+    rows = [(1, [1.0, 0.0], 7), (2, [0.0, 0.0], 7), (3, [1.0, 0.0], 8), (4, [0.0, -2.0], 9), (5, None, 9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    assert [(r.vec_id, r.score) for r in vectors.nearest(df, [2.0, 0.0], 3, "cosine").orderBy("rank").collect()] == [(1, 1.0), (3, 1.0), (2, 0.0)]
-    assert [(r.vec_id, r.score) for r in vectors.nearest(df, [1.0, 0.0], 2, "l2").orderBy("rank").collect()] == [(1, 0.0), (3, 0.0)]
-    assert [(r.label, r.chunk_hits) for r in vectors.nearest_documents(df, [1.0, 0.0], 2, 2).orderBy("rank").collect()] == [(7, 2), (8, 1)]
-    assert vectors.nearest_documents(df, [1.0, 0.0], 0).count() == 0
+    ask = lambda *v: spark.createDataFrame([(i, x) for i, x in enumerate(v)], "query_id int, embedding array<float>")
+    found = lambda got: [(r.vec_id, r.score) for r in got.orderBy("query_id", "rank").collect()]
+    assert found(vectors.nearest(df, ask([2.0, 0.0]), 3, "cosine")) == [(1, 1.0), (3, 1.0), (2, 0.0)]
+    assert found(vectors.nearest(df, ask([1.0, 0.0], [0.0, -1.0], None), 2, "l2")) == [(1, 0.0), (3, 0.0), (2, -1.0), (4, -1.0)]
+    assert found(vectors.nearest(df, ask([1.0, 0.0], [0.0, -1.0]), 2, "l2", chunk=1, block=1)) == [(1, 0.0), (3, 0.0), (2, -1.0), (4, -1.0)]
+    assert [(r.label, r.chunk_hits) for r in vectors.nearest_documents(df, ask([1.0, 0.0]), 2, 2).orderBy("rank").collect()] == [(7, 2), (8, 1)]
+    assert vectors.nearest_documents(df, ask([1.0, 0.0]), 0).count() == 0 and vectors.nearest(df.where("vec_id < 0"), ask([1.0, 0.0]), 2).count() == 0
     with pytest.raises(ValueError):
-        vectors.nearest(df, [1.0, 0.0], 2, "dice")
+        vectors.nearest(df, ask([1.0, 0.0]), 2, "dice")
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2", "cosine"])
+def test_lists_find_most_of_the_nearest(spark, metric):
+    """All rows of the smallest embeddings table are indexed; recall of ten for every tenth vector against the exact search."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    asked = df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.vec_id) for r in vectors.nearest(df, asked, 10, metric).collect()}
+    got = {(r.query_id, r.vec_id) for r in vectors.search_lists(vectors.build_lists(df, metric=metric), asked, 10).collect()}
+    assert len(got & exact) >= 0.9 * len(exact)
+    whole = vectors.search_lists(vectors.build_lists(df, 4, metric), asked, 10, probes=4)
+    assert {(r.query_id, r.vec_id) for r in whole.collect()} == exact
 
 
 #: Hits of each query's five results, its number of relevant documents, P@3, P@5, AP and NDCG@5; then the means of P@3, P@5, AP and NDCG@5.

@@ -47,11 +47,12 @@ def clean(text: Column, accents: bool = False, entities: bool = False) -> Column
     """Words of the letters a to z in lower case, one space apart; '' for null.
 
     Tags become spaces and apostrophes vanish. With ``accents`` kept, accented letters become spaces as all else does. ``entities`` decodes HTML entities
-    first, which needs a Python worker; leave it off for text that has none.
+    first: texts that may hold one, and only these, pass through a Python worker. It can't be used within a lambda.
     """
     out = F.coalesce(text.cast("string"), F.lit(""))
     if entities:
-        out = _unescape(out)
+        held = out.rlike(r"&#?\w")
+        out = F.when(held, _unescape(F.when(held, out))).otherwise(out)
     out = F.regexp_replace(F.regexp_replace(out, "<[^>]+>", " "), "[’‘']", "")
     if not accents:
         out = strip_accents(out)

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib import robotparser
-from urllib.parse import urljoin, urlparse
+from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,17 @@ from pyspark.sql.types import StringType
 #: Suffixes of addresses that aren't pages, and schemes that are fetched.
 EXCLUDED = [r"\.pdf$", r"\.jpg$", r"\.jpeg$", r"\.png$", r"\.gif$", r"\.svg$", r"\.webp$", r"\.zip$", r"\.rar$", r"\.mp4$", r"\.mp3$"]
 SCHEMES = ["http", "https"]
+#: How links that aren't addresses begin.
+NO_ADDRESS = ("javascript:", "mailto:", "tel:")
+#: Where JSON-LD records hold each field of a document, in the order of preference.
+LINKED = {
+    "entity_name": ["name"],
+    "review_author": ["author.name", "author"],
+    "review_date": ["datePublished"],
+    "rating": ["aggregateRating.ratingValue", "reviewRating.ratingValue", "ratingValue"],
+    "location": ["address.addressLocality", "address.addressRegion", "address.addressCountry", "location"],
+    "content_type": ["@type"],
+}
 #: Elements that end an open paragraph, and elements without an end.
 _BLOCKS = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -24,18 +35,27 @@ _SILENT = {"script", "style", "template"}
 
 def normalise_url(base: str | None, href: str | None) -> str | None:
     """The absolute address of a link without fragment and parameters; null for a blank one, for other kinds of links and without a host."""
-    if not href or not href.strip() or href.strip().startswith(("javascript:", "mailto:", "tel:")):
-        return None
+    target = (href or "").strip()
     try:
-        parts = urlparse(urljoin(base or "", href.strip()))
+        to = urlsplit(urljoin(base or "", target)) if target and not target.startswith(NO_ADDRESS) else None
     except ValueError:
+        to = None
+    if to is None or not to.netloc:
         return None
-    return parts._replace(fragment="", params="").geturl() if parts.netloc else None
+    folder, slash, name = to.path.rpartition("/")
+    return urlunsplit((to.scheme, to.netloc, folder + slash + name.partition(";")[0], to.query, ""))
 
 
 @F.pandas_udf(StringType())
-def normalised_url(base: pd.Series, href: pd.Series) -> pd.Series:
-    return pd.Series([normalise_url(b, h) for b, h in zip(base, href)], dtype=object)
+def _resolved(base: pd.Series, href: pd.Series) -> pd.Series:
+    return pd.Series([None if h is None else normalise_url(b, h) for b, h in zip(base, href)], dtype=object)
+
+
+def normalised_url(base: Column, href: Column) -> Column:
+    """``normalise_url`` as a column. An address that is plain and absolute only loses its fragment; the others, and only they, are resolved in Python."""
+    target = F.trim(href)
+    plain = target.rlike(r"^https?://[A-Za-z0-9.:-]+(/[^;#?]*)?(\?[^#;]*)?(#.*)?$") & ~target.rlike(r"^[^?#]*/\.{1,2}(/|$|[?#])|\s")
+    return F.when(plain, F.regexp_replace(target, "[?]?(#.*)?$", "")).otherwise(_resolved(F.when(plain, None).otherwise(base), F.when(plain, None).otherwise(href)))
 
 
 def host(url: Column) -> Column:
@@ -49,7 +69,8 @@ def doc_id(url: Column) -> Column:
 def clean_domain(value: str) -> str:
     """Host of an address or domain as written."""
     text = value.strip().lower()
-    return (urlparse(text).netloc or text).split("/")[0] if "://" in text else text.split("/")[0]
+    named = urlsplit(text).hostname if "://" in text else None
+    return (named or text).split("/")[0]
 
 
 def in_domains(url: Column, domains: list[str]) -> Column:
@@ -168,52 +189,43 @@ def html_text(html: str) -> str:
     return parse(html).text()
 
 
-def safe(value: object) -> str | None:
-    return None if value is None else str(value).strip() or None
-
-
-def flatten(node: object) -> list[dict]:
-    if isinstance(node, list):
-        return [x for item in node for x in flatten(item)]
-    if isinstance(node, dict):
-        return flatten(node["@graph"]) if "@graph" in node else [node]
-    return []
+def _text(value: object) -> str | None:
+    return (str(value).strip() or None) if value is not None else None
 
 
 def linked_data(root: _Node) -> list[dict]:
-    """The records of all JSON-LD scripts; malformed ones are skipped."""
-    out = []
+    """The records of all JSON-LD scripts in document order, those of a graph in its place; malformed scripts are skipped."""
+    waiting: list[object] = []
     for script in root.find("script"):
         if script.attrs.get("type") == "application/ld+json":
             try:
-                out += flatten(json.loads("".join(x for x in script.children if isinstance(x, str)).strip() or "null"))
+                waiting.append(json.loads("".join(x for x in script.children if isinstance(x, str)).strip() or "null"))
             except json.JSONDecodeError:
                 continue
+    out, waiting = [], waiting[::-1]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict) and "@graph" in node:
+            waiting.append(node["@graph"])
+        elif isinstance(node, dict):
+            out.append(node)
+        elif isinstance(node, list):
+            waiting += node[::-1]
     return out
 
 
+def _reach(record: object, path: str) -> str | None:
+    """The text at a path of keys; a list of texts is joined by commas."""
+    for step in path.split("."):
+        record = record.get(step) if isinstance(record, dict) else None
+    return _text(",".join(map(str, record)) if path == "@type" and isinstance(record, list) else record)
+
+
 def linked_fields(records: list[dict]) -> dict[str, object]:
-    """The first value of each field over the records."""
-    first: dict[str, object] = dict.fromkeys(("entity_name", "review_author", "review_date", "rating", "location", "content_type"))
-    tags: set[str] = set()
-
-    def offer(name: str, *values: object) -> None:
-        for v in values:
-            first[name] = first[name] or safe(v)
-
-    for r in records:
-        kind = r.get("@type")
-        offer("content_type", ",".join(map(str, kind)) if isinstance(kind, list) else kind or None)
-        offer("entity_name", r.get("name"))
-        author = r.get("author")
-        offer("review_author", *([author.get("name")] if isinstance(author, dict) else []), author)
-        offer("review_date", r.get("datePublished"))
-        offer("rating", *[r[k].get("ratingValue") for k in ("aggregateRating", "reviewRating") if isinstance(r.get(k), dict)], r.get("ratingValue"))
-        place = r.get("address")
-        offer("location", *[place.get(k) for k in ("addressLocality", "addressRegion", "addressCountry")] if isinstance(place, dict) else [], r.get("location"))
-        if isinstance(r.get("keywords"), str):
-            tags |= {t.strip() for t in r["keywords"].split(",") if t.strip()}
-    return first | {"tags": sorted(tags)}
+    """Of each field of LINKED the first value over the records; all their keywords, sorted."""
+    found = {field: next((v for r in records for p in paths if (v := _reach(r, p))), None) for field, paths in LINKED.items()}
+    keywords = ",".join(r["keywords"] for r in records if isinstance(r.get("keywords"), str))
+    return found | {"tags": sorted({word.strip() for word in keywords.split(",")} - {""})}
 
 
 def page_fields(html: str) -> dict[str, object]:
@@ -232,13 +244,13 @@ def page_fields(html: str) -> dict[str, object]:
     images = list(dict.fromkeys(i.attrs["src"].strip() for i in root.find("img") if i.attrs.get("src", "").strip()))[:10]
     page = next(root.find("html"), None)
     linked = linked_fields(linked_data(root))
-    name = safe(meta.get("og:title")) or (safe("".join(x.strip() for x in title.children if isinstance(x, str))) if title else None)
+    name = _text(meta.get("og:title")) or (_text("".join(x.strip() for x in title.children if isinstance(x, str))) if title else None)
     return {
         "title": name,
-        "summary": safe(meta.get("description")) or safe(meta.get("og:description")),
+        "summary": _text(meta.get("description")) or _text(meta.get("og:description")),
         "content_text": text,
         "word_count": len(text.split()),
-        "language": safe(page.attrs.get("lang")) if page else None,
+        "language": _text(page.attrs.get("lang")) if page else None,
         "images": images,
         **linked,
         "content_type": linked["content_type"] or "web_page",

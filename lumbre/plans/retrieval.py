@@ -17,7 +17,7 @@ QUERY_TEXT = "playa con hotel y piscinas naturales entre las rocas"
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, lang, source, title, cleaned, tokens): documents with their first line as title; tokens without stop words."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "url")
-    rows = rows.withColumn("title", F.trim(F.element_at(F.split("text", "\n"), 1))).withColumn("cleaned", T.clean(F.col("text")))
+    rows = rows.withColumn("title", F.trim(F.element_at(F.split("text", "\n"), 1))).withColumn("cleaned", T.clean(F.col("text"), entities=True))
     return rows.withColumn("tokens", T.without_stopwords(T.tokens(F.col("cleaned")), T.language_name(F.col("lang"))))
 
 
@@ -94,14 +94,13 @@ def language_alias(spark, d):
 
 @query()
 def stem_terms(spark, d):
-    rows = docs(spark, d).select(T.language_name(F.col("lang")).alias("language"), F.explode("tokens").alias("term"))
-    return stems(rows.where(F.col("language").isin("english", "spanish")))
+    return stems(docs(spark, d).select(T.language_name(F.col("lang")).alias("language"), F.explode("tokens").alias("term")))
 
 
 @query()
 def process_text(spark, d):
     """(doc_id, tokens): stems in their order; stems are made of distinct terms and joined back."""
-    rows = docs(spark, d).where(F.col("lang").isin("en", "es")).select("doc_id", T.language_name(F.col("lang")).alias("language"), F.posexplode("tokens").alias("pos", "term"))
+    rows = docs(spark, d).select("doc_id", T.language_name(F.col("lang")).alias("language"), F.posexplode("tokens").alias("pos", "term"))
     rows = materialise(rows, "terms")
     got = rows.join(stems(rows), ["language", "term"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "stem"))).alias("x"))
     return got.select("doc_id", F.transform("x", lambda s: s["stem"]).alias("tokens"))

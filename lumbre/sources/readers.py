@@ -34,18 +34,22 @@ def discover(spark: SparkSession, folder: str, extensions: list[str] = EXTENSION
 
 
 def json_strings(node: object, text_fields: list[str] | None = None) -> list[str]:
-    """Non-blank string leaves in document order; of a record with any of ``text_fields``, those only."""
-    if isinstance(node, str):
-        return [node.strip()] if node.strip() else []
-    if isinstance(node, dict):
-        if text_fields:
-            picked = [s for f in text_fields if f in node for s in json_strings(node[f])]
-            if picked:
-                return picked
-        return [s for v in node.values() for s in json_strings(v, text_fields)]
-    if isinstance(node, list):
-        return [s for v in node for s in json_strings(v, text_fields)]
-    return []
+    """Non-blank string leaves in document order; of a record with text in any of ``text_fields``, those only."""
+    out, waiting = [], [(node, tuple(text_fields or ()))]
+    while waiting:
+        x, wanted = waiting.pop()
+        below: list = []
+        if isinstance(x, str):
+            out += [x.strip()] if x.strip() else []
+        elif isinstance(x, list):
+            below = x
+        elif isinstance(x, dict):
+            below = list(x.values())
+            named = [x[f] for f in wanted if f in x]
+            if json_strings(named):
+                below, wanted = named, ()
+        waiting += [(y, wanted) for y in reversed(below)]
+    return out
 
 
 @F.pandas_udf(StringType())

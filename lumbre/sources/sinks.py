@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,32 +29,48 @@ def append_new_urls(urls: DataFrame, path: str) -> None:
     from lumbre.operators.crawl import new_urls
 
     spark = urls.sparkSession
-    try:
-        known = spark.read.text(path).select(F.col("value").alias("url"))
-        urls = new_urls(urls, known)
-    except Exception:  # no log yet
+    if exists(spark, path):  # any other failure to read it is raised
+        urls = new_urls(urls, spark.read.text(path).select(F.col("value").alias("url")))
+    else:
         urls = urls.select(F.trim("url").alias("url")).where("url != ''").distinct()
     urls.select("url").write.mode("append").text(path)
 
 
+def exists(spark, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def raw_pages(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes each page (name, html) to a file of its own, from the executors; returns (name, n_bytes)."""
+    """Writes each page (name, html) to a file of its own in ``folder``, a path or address of a file system that all executors share; returns (name, n_bytes)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pathlib import Path
+        from pyarrow import fs
 
-        Path(folder).mkdir(parents=True, exist_ok=True)
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
         for rows in batches:
-            sizes = [Path(folder, n).write_bytes((h or "").encode("utf-8")) for n, h in zip(rows["name"], rows["html"])]
+            sizes = []
+            for name, html in zip(rows["name"], rows["html"]):
+                content = (html or "").encode("utf-8", errors="ignore")
+                with system.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+                sizes.append(len(content))
             yield pd.DataFrame({"name": rows["name"], "n_bytes": sizes})
 
     return pages.select("name", "html").mapInPandas(run, "name string, n_bytes long")
 
 
+def report(spark, value: dict[str, object], path: str) -> None:
+    """A report (of a crawl or an evaluation) as one indented JSON file."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2, default=str), "utf-8"))
+    out.close()
+
+
 def save_tables(tables: dict[str, DataFrame], settings: dict[str, object], path: str) -> None:
     """An index as Parquet tables and a row of settings."""
-    import json
-
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
     spark = next(iter(tables.values())).sparkSession
@@ -61,8 +78,6 @@ def save_tables(tables: dict[str, DataFrame], settings: dict[str, object], path:
 
 
 def load_tables(spark, path: str, names: list[str]) -> tuple[dict[str, DataFrame], dict[str, object]]:
-    import json
-
     from pyspark.errors import AnalysisException
 
     try:

@@ -51,7 +51,16 @@ def test_leximin_against_brute_force(spark, bucket):
         order[r.g].append(r.id)
     for g, ids in order.items():
         assert ids == [i for (h, i) in sorted((k for k in want if k[0] == g), key=lambda k: ([-v for v in want[k]], k[1])) for h in [h]]
-    assert {r.g: r.id for r in ranking.first_of_each(df, ["g"], "id", SCORES, bucket).collect()}.keys() == {"a", "b", None}
+    assert {r.g: r.id for r in ranking.first_of_each(df, ["g"], "id", SCORES, bucket).collect()} == {g: ids[0] for g, ids in order.items() if g != "only"}
+
+
+@pytest.mark.parametrize("bucket", [2, 100_000])
+def test_tied_items_are_led_by_the_first(spark, bucket):
+    rows = [(f"g{g}", f"i{(i * 7 + g) % 9}", 1.0 if i < 6 else None, 2.0 if i < 6 else None) for g in range(12) for i in range(9)]
+    df = spark.createDataFrame(rows, RANKED).repartition(5)
+    first = {r.g: r.id for r in ranking.ranked(df, ["g"], "id", SCORES, bucket).where("position = 1").collect()}
+    assert {r.g: r.id for r in ranking.first_of_each(df, ["g"], "id", SCORES, bucket).collect()} == first
+    assert first == {g: min(i for h, i, x, _ in rows if h == g and x) for g in first} and len(first) == 12
 
 
 def test_one_strong_score_does_not_lead(spark):
@@ -140,6 +149,10 @@ def test_mixture(spark):
     told = {r.source: r for r in mixture.report(docs, targets).collect()}
     assert all(told[s].tokens == tokens[s] for s in caps) and told["none"].reached_share == 0 and sum(r.reached_share for r in told.values()) == pytest.approx(1)
     assert {tuple(r) for r in mixture.mixture(docs, targets).collect()} == set(map(tuple, mix))
+    large = {r.source: r for r in mixture.report(docs, targets, total=lambda even: 3 * even).collect()}
+    assert large["b"].clamped and large["b"].repeats == 3 and large["b"].most_uses == 3 and not large["c"].clamped
+    whole = sum(r.tokens for r in large.values())
+    assert whole == pytest.approx(3 * sum(tokens.values()), rel=0.01) and large["b"].reached_share < 0.3 < large["a"].reached_share + large["c"].reached_share
     assert mixture.mixture(docs.limit(0), targets).count() == 0 and mixture.report(docs.limit(0), targets).count() == 4
     assert all(r.reached_share == 0 for r in mixture.report(docs, targets.limit(0)).collect())
 

@@ -107,6 +107,10 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.fill_containers(table(spark, sf_dir, "documents"))
 
 
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.report(materialise(pack.fill_containers(table(spark, sf_dir, "documents")), "containers"))
+
+
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mixture_targets"))
 

@@ -88,6 +88,33 @@ def test_evolve_packs_all(sizes, seed):
     assert len(set(again)) <= len(set(bins))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_evolve_beats_best_fit_on_hard_sizes(seed):
+    """Triplets of which each fills a container exactly, and sizes of which two or three make one."""
+    rng = random.Random(seed)
+    sizes = []
+    for _ in range(100):
+        a = rng.randint(778, 1000)
+        b = rng.randint(512, (2048 - a) // 2)
+        sizes += [a, b, 2048 - a - b]
+    bins = []
+    pack.best_fit(bins, [], sorted(range(300), key=lambda i: -sizes[i]), sizes, 2048)
+    assert len(set(pack.evolve(sizes, [], 2048, seed))) <= len(bins) - 6 and len(bins) > pack.least_bins(sizes, 2048) + 10
+
+
+def test_left_overs_of_shards_are_packed_together(spark):
+    rng = random.Random(4)
+    items = spark.createDataFrame([(i, 1, 1, rng.randint(5, 60)) for i in range(600)] + [(1, 1, 1, 33)] * 50, "doc_id long, parts int, part int, tokens int")
+    rows = pack.containers_of(items, "doc_id", capacity=100, shard=40).cache()
+    held = Counter()
+    for r in rows.collect():
+        held[r.container] += r.tokens
+    assert max(held.values()) <= 100 and rows.count() == 650 and all(r.filled == held[r.container] for r in rows.collect())
+    told = pack.report(rows, 100, 40).first()
+    assert told.containers == len(held) and told.least <= told.containers <= told.least + 6 and told.containers < told.best_fit
+    rows.unpersist()
+
+
 def test_crossover_keeps_each_item_once():
     rng = random.Random(0)
     sizes = [rng.randint(1, 60) for _ in range(80)]

@@ -41,11 +41,6 @@ READINGS = "array<struct<format:string,micros:bigint,day:int>>"
 _DAY = 86_400_000_000
 
 
-def valid_zone(name: Column) -> Column:
-    """The name if it is a zone known here, else null."""
-    return F.when(name.isin(sorted(available_timezones())), name)
-
-
 def valid_zone(name: Column) -> Column:
     """The name if it is a zone known here, else null."""
     return F.when(name.isin(sorted(available_timezones())), name)

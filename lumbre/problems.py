@@ -29,4 +29,10 @@ def p7_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.normalise(_timestamps(spark, sf_dir)).select("field_name", "record_key", "value", F.size("readings").alias("n_readings"), "utc_form")
 
 
-QUERIES = {"p7_found": p7_found, "p7_normalised": p7_normalised}
+def p7_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of several readings, with both orders of slash dates read, and the reading chosen along their source's records."""
+    rows = timeline.normalise(_timestamps(spark, sf_dir), strict=False).where(F.size("readings") > 1)
+    return rows.select("field_name", "record_key", "value", F.size("readings").alias("n_readings"), "pick", "utc_form")
+
+
+QUERIES = {"p7_found": p7_found, "p7_normalised": p7_normalised, "p7_chosen": p7_chosen}

@@ -1,4 +1,7 @@
 import datetime as dt
+import itertools
+import random
+from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
 import pytest
@@ -78,12 +81,43 @@ def test_order_of_a_source_decides(spark):
     assert [f for _, f in got] == ["2020-01-25", "2020-02-03", "2020-02-04", "2020-02-25"]
 
 
-def test_blocks_are_as_good_as_one(spark, monkeypatch):
+@pytest.mark.parametrize("block", [1, 3, 10])
+def test_blocks_are_as_good_as_one(spark, block):
     values = [f"{d:02}/{m:02}/2020" for m in range(1, 7) for d in range(1, 29, 3)]
-    whole = _forms(spark, values, month_first=None, strict=False)
-    monkeypatch.setattr(timeline, "BLOCK", 10)
-    monkeypatch.setattr(timeline, "LEAD", 9)
-    assert _forms(spark, values, month_first=None, strict=False) == whole
+    rng = random.Random(block)
+    values += [f"{rng.randint(1, 14):02}/{rng.randint(1, 12):02}/2020" for _ in range(30)]
+    df = spark.createDataFrame([("f", i, f"s{i % 2}", v, None, None) for i, v in enumerate(values)], SCHEMA)
+    key = lambda b: sorted((r.record_key, r.pick, r.utc_form) for r in timeline.normalise(df, strict=False, block=b).collect())
+    assert key(block) == key(10**6)
+
+
+def test_choice_is_the_cheapest_of_all(spark):
+    """Against every combination of readings."""
+    rng = random.Random(8)
+    values = [f"{rng.randint(1, 13):02}/{rng.randint(1, 13):02}/2020" for _ in range(9)]
+    df = spark.createDataFrame([("f", i, "s", v, None, None) for i, v in enumerate(values)], SCHEMA)
+    rows = [r for r in timeline.normalise(df, strict=False, block=4).orderBy("record_key").collect() if r.readings]
+
+    def cost(picks):
+        read = [(r.readings[p].format, r.readings[p].day * 86_400_000_000) for r, p in zip(rows, picks)]
+        return sum(timeline.AGAINST * (f == "S:mdy") for f, _ in read) + sum(timeline._pass(x, y) for x, y in zip(read, read[1:]))
+
+    best = min(cost(p) for p in itertools.product(*[range(len(r.readings)) for r in rows]))
+    assert cost([r.pick for r in rows]) == pytest.approx(best)
+
+
+def test_planted_order_of_days_and_months(spark):
+    """A site that writes its days one way, in the order of time: nearly all ambiguous dates come out right."""
+    for shape in ("%d/%m/%Y", "%m/%d/%Y"):
+        days = [datetime(2020, 1, 1) + timedelta(days=3 * i) for i in range(200)]
+        df = spark.createDataFrame([("f", i, "s", d.strftime(shape), None, None) for i, d in enumerate(days)], SCHEMA)
+        got = {r.record_key: r.utc_form for r in timeline.normalise(df, strict=False, block=30).collect()}
+        assert sum(got[i] == d.strftime("%Y-%m-%d") for i, d in enumerate(days)) >= 196
+
+
+def test_rows_under_one_key(spark):
+    df = spark.createDataFrame([("f", 1, "s", "2020-01-01", None, None)] * 2 + [("f", 1, "s", "03/02/2020", None, None)], SCHEMA)
+    assert sorted(r.utc_form for r in timeline.normalise(df).collect()) == ["2020-01-01", "2020-01-01", "2020-02-03"]
 
 
 def test_empty_table_and_clashing_columns(spark):

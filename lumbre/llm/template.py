@@ -41,15 +41,17 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(line), r"[^\p{L}]+"), lambda w: w != ""))
 
 
-def word_vectors(pages: DataFrame) -> DataFrame:
-    """(site, word, n, fp, fs, cover): lines with the word, fingerprint of its occurrence vector, mean share of a line that one word is. Input: site, page, text."""
-    lines = pages.select("site", "page", F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("words", _words(F.col("line")))
-    each = lines.select("site", F.size("words").alias("lw"), F.xxhash64("page", "no").alias("h"), F.explode("words").alias("word"))
-    return (
-        each.groupBy("site", "word")
-        .agg(F.count("*").alias("n"), F.bit_xor("h").alias("fp"), F.sum(F.shiftright("h", 32)).alias("fs"), F.sum("lw").alias("lw"))
-        .where(F.col("n") >= MIN_LINES)
-    )
+def chunk_words(pages: DataFrame) -> DataFrame:
+    """(site, chunk, word, n, fp, fs, lw): of each word of a chunk of pages, the lines with it, the fingerprint of its occurrence vector there and the words of these lines. Input: site, chunk, page, text."""
+    lines = pages.select("site", "chunk", "page", F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("words", _words(F.col("line")))
+    each = lines.select("site", "chunk", F.size("words").alias("lw"), F.xxhash64("page", "no").alias("h"), F.explode("words").alias("word"))
+    return each.groupBy("site", "chunk", "word").agg(F.count("*").alias("n"), F.bit_xor("h").alias("fp"), F.sum(F.shiftright("h", 32)).alias("fs"), F.sum("lw").alias("lw"))
+
+
+def word_vectors(chunked: DataFrame) -> DataFrame:
+    """(site, word, n, fp, fs, lw): the same over all chunks of a host, of words in at least MIN_LINES lines."""
+    sums = chunked.groupBy("site", "word").agg(F.sum("n").alias("n"), F.bit_xor("fp").alias("fp"), F.sum("fs").alias("fs"), F.sum("lw").alias("lw"))
+    return sums.where(F.col("n") >= MIN_LINES)
 
 
 def equivalence_classes(vectors: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -104,12 +106,13 @@ def _label(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 
 def class_lines(pages: DataFrame) -> DataFrame:
-    """(site, page, lines): the non-blank lines of each page with the classes in them. A host's pages are dealt to chunks, so no task holds a whole host."""
+    """(site, page, lines): the non-blank lines of each page with the classes in them. A host's pages are dealt to chunks, so no task holds a whole host, and each chunk gets only the words that stand in it."""
     sizes = materialise(pages.groupBy("site").agg(F.count("*").alias("pages")), "sizes")
     chunks = F.ceil(F.col("pages") / CHUNK).cast("int")
-    words = materialise(equivalence_classes(word_vectors(pages), sizes), "vectors")
     left = pages.join(sizes, "site").select("site", "page", "text", F.pmod(F.xxhash64("page"), chunks).cast("int").alias("chunk"))
-    right = words.join(sizes, "site").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).select("site", "word", "n", F.col("cid").cast("string").alias("cid"), "members", "chunk")  # pandas would turn null longs to floats
+    held = materialise(chunk_words(left), "words")
+    words = equivalence_classes(word_vectors(held), sizes)
+    right = held.select("site", "chunk", "word").join(words, ["site", "word"]).select("site", "word", "n", F.col("cid").cast("string").alias("cid"), "members", "chunk")  # pandas would turn null longs to floats
     return left.groupBy("site", "chunk").cogroup(right.groupBy("site", "chunk")).applyInPandas(_label, f"site string, page long, lines {LINES}")
 
 

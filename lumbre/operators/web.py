@@ -271,13 +271,13 @@ def documents(pages: DataFrame, key: str = "url", html: str = "html") -> DataFra
     return pages.select(key, html).where(F.col(html).isNotNull()).mapInPandas(run, f"{key} string, {_PAGE}")
 
 
-def links(pages: DataFrame, domains: list[str], include: list[str] = (), exclude: list[str] = tuple(EXCLUDED), url: str = "url", html: str = "html") -> DataFrame:
-    """(url, link): the distinct allowed links of each page."""
+def links(pages: DataFrame, domains: list[str], include: list[str] = (), exclude: list[str] = tuple(EXCLUDED), url: str = "url", html: str = "html", base: str | None = None) -> DataFrame:
+    """(url, link): the distinct allowed links of each page, relative to ``base`` (by default its address)."""
     hrefs = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<a\s[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))"), F.lit(0))
-    raw = pages.select(url, F.explode(F.array_distinct(hrefs)).alias("tag"))
+    raw = pages.select(url, F.col(base or url).alias("_base"), F.explode(F.array_distinct(hrefs)).alias("tag"))
     href = F.regexp_replace(F.regexp_replace("tag", r"(?is)^.*?\bhref\s*=\s*", ""), "^[\"']|[\"']$", "")
     href = F.replace(href, F.lit("&amp;"), F.lit("&"))
-    found = raw.select(url, normalised_url(F.col(url), href).alias("link")).where(F.col("link").isNotNull()).distinct()
+    found = raw.select(url, normalised_url(F.col("_base"), href).alias("link")).where(F.col("link").isNotNull()).distinct()
     return found.where(allowed(F.col("link"), list(domains), include, exclude))
 
 

@@ -555,10 +555,21 @@ def score_format(spark, d):
     return table(spark, d, "events").select("event_id", T.four_places(F.round(F.col("value") * 100) / 800 + F.lit(0.00001)).alias("shown"))
 
 
-@query("""SELECT count(*) AS errors, count(DISTINCT url) AS urls, count(*) FILTER (reason = 'http_error') AS http_errors, max(depth)::INT AS max_depth FROM crawl_errors""")
+@query("""WITH seen AS (SELECT url, arg_min(depth, seq) AS depth, 'document' AS status FROM crawled_documents WHERE url IS NOT NULL GROUP BY url
+        UNION ALL SELECT url, max(depth), min(CASE WHEN reason = 'policy' THEN 'policy' WHEN reason = 'http_error' THEN 'http_error' ELSE 'error' END) FROM crawl_errors WHERE url IS NOT NULL GROUP BY url),
+    links AS (SELECT DISTINCT parent_url AS url, url AS link FROM crawled_documents WHERE parent_url IS NOT NULL AND url IS NOT NULL),
+    d AS (SELECT count(*) AS n, count(DISTINCT link) AS m FROM links WHERE url IN (SELECT url FROM seen WHERE status = 'document'))
+    SELECT count(*) FILTER (depth = 0) AS seed_urls, count(*) FILTER (status <> 'policy') AS urls_visited, count(*) FILTER (status = 'document') AS pages_fetched, count(*) FILTER (status = 'document') AS documents_saved,
+        (SELECT n FROM d) AS links_discovered, count(*) FILTER (depth > 0) AS links_enqueued, count(*) FILTER (status IN ('error', 'http_error')) AS errors, count(*) FILTER (status = 'policy') AS skipped_policy,
+        0::BIGINT AS skipped_robots, 0::BIGINT AS skipped_non_html, (SELECT n - m FROM d) AS skipped_duplicate, 0::BIGINT AS skipped_persisted FROM seen""")
 def crawl_counters(spark, d):
-    rows = table(spark, d, "crawl_errors")
-    return rows.agg(F.count("*").alias("errors"), F.countDistinct("url").alias("urls"), F.count_if(F.col("reason") == "http_error").alias("http_errors"), F.max("depth").alias("max_depth"))
+    """The counters over what was crawled and what failed."""
+    made = table(spark, d, "crawled_documents").where("url is not null")
+    seen = made.groupBy("url").agg(F.min_by("depth", "seq").alias("depth"), F.lit("document").alias("status"))
+    reason = F.when(F.col("reason") == "policy", "policy").when(F.col("reason") == "http_error", "http_error").otherwise("error")
+    failed = table(spark, d, "crawl_errors").where("url is not null").groupBy("url").agg(F.max("depth").alias("depth"), F.min(reason).alias("status"))
+    links = made.where("parent_url is not null").select(F.col("parent_url").alias("url"), F.col("url").alias("link")).distinct()
+    return crawl.counters(seen.unionByName(failed), links)
 
 
 def _model(spark, d, k: int = 10) -> tuple[lsi.Model, DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumbre.functions import text as T
-from lumbre.functions.stem import stems
+from lumbre.functions.stem import stem, stems
 from lumbre.operators import crawl, evaluate, index, lsi, search, vectors, web
 from lumbre.plans.tables import materialise, table
 
@@ -97,13 +97,20 @@ def stem_terms(spark, d):
     return stems(docs(spark, d).select(T.language_name(F.col("lang")).alias("language"), F.explode("tokens").alias("term")))
 
 
+def stemmed(rows: DataFrame, fields: tuple[str, ...] = ("tokens",)) -> DataFrame:
+    """``rows`` (doc_id, lang and others) with the words of ``fields`` stemmed, in their order; stems are made of distinct terms and joined back. Languages other than Spanish are stemmed as English."""
+    words_of = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("ws")) for f in fields])
+    terms = rows.select("doc_id", T.language_name(F.col("lang")).alias("language"), F.explode(words_of).alias("x")).select("doc_id", "language", "x.field", F.posexplode("x.ws").alias("pos", "term"))
+    terms = materialise(terms, "terms")
+    got = terms.join(stems(terms), ["language", "term"]).where("stem != ''").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("field", "pos", "stem"))).alias("_x"))
+    of = lambda f: F.transform(F.filter(F.coalesce("_x", F.array().cast("array<struct<field:string,pos:int,stem:string>>")), lambda s: s["field"] == f), lambda s: s["stem"])
+    return rows.drop(*fields).join(got, "doc_id", "left").select("*", *[of(f).alias(f) for f in fields]).drop("_x")
+
+
 @query()
 def process_text(spark, d):
-    """(doc_id, tokens): stems in their order; stems are made of distinct terms and joined back."""
-    rows = docs(spark, d).select("doc_id", T.language_name(F.col("lang")).alias("language"), F.posexplode("tokens").alias("pos", "term"))
-    rows = materialise(rows, "terms")
-    got = rows.join(stems(rows), ["language", "term"]).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "stem"))).alias("x"))
-    return got.select("doc_id", F.transform("x", lambda s: s["stem"]).alias("tokens"))
+    """(doc_id, tokens): the whole preparation of a text, down to stems."""
+    return stemmed(docs(spark, d).select("doc_id", "lang", "tokens")).select("doc_id", "tokens")
 
 
 @query(f"WITH {DOCS}, {TF} SELECT term, doc_id, freq FROM tf")
@@ -171,16 +178,45 @@ def weighted_field_tokens(spark, d):
     return index.weighted_fields(rows, {"title": 3, "content": 1})
 
 
-def fallback_search(rows: DataFrame, given: list[str], k: int) -> DataFrame:
-    """(doc_id, score, rank): a pool by cosine, then a point for focus words in the title and a fraction for those in the text."""
+def fallback_search(rows: DataFrame, given: list[str], k: int, title: Column | None = None) -> DataFrame:
+    """(doc_id, score, rank): a pool by cosine, then a point for focus words in the title and a fraction for those in the text. rows: doc_id, tokens, and title and lang, or ``title`` as words."""
     pool = _cosines(rows, given).withColumn("score", F.round("score", 6)).orderBy(F.col("score").desc(), "doc_id").limit(max(6 * k, 12)).where("score > 0")
     focused = search.focus(F.array(*map(F.lit, given)))
     both = rows.join(F.broadcast(pool), "doc_id")  # at most the pool
     shared = lambda c: F.size(F.array_intersect(focused, c))
-    score = F.col("score") + 1.1 * shared(words(F.col("title"))) + 0.18 * shared(F.col("tokens"))
+    score = F.col("score") + 1.1 * shared(words(F.col("title")) if title is None else title) + 0.18 * shared(F.col("tokens"))
     return index.top(both.select("doc_id", score.alias("score")), k)
 
 
+def stemmed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``docs`` with the stems of text and title, as the index and the searches of a whole pipeline take them."""
+    rows = docs(spark, sf_dir)
+    return materialise(stemmed(rows.withColumn("title_tokens", words(F.col("title"))), ("tokens", "title_tokens")), "stemmed")
+
+
+STEMS = [stem(w, "spanish") for w in QUERY]
+
+
+@query()
+def stemmed_tfidf_weights(spark, d):
+    return index.tfidf(stemmed_docs(spark, d)).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def stemmed_fallback_search(spark, d):
+    return fallback_search(stemmed_docs(spark, d), STEMS, 4, F.col("title_tokens"))
+
+
+@query()
+def stemmed_passage_score(spark, d):
+    """Passages of the documents found by stems, scored by the words themselves."""
+    rows = stemmed_docs(spark, d)
+    best = fallback_search(rows, STEMS, 4, F.col("title_tokens"))
+    both = rows.join(F.broadcast(best), "doc_id")  # at most k
+    found = both.select("doc_id", "lang", F.col("rank").alias("citation_id"), "title", "url", "score", F.lit("").alias("summary"), F.col("text").alias("content"))
+    return search.best_passages(materialise(found, "retrieved"), QUERY, words, 3)
+
+
 _SHARED = "length(list_distinct(list_intersect({0}, {1})))"
 
 
@@ -572,15 +608,16 @@ def crawl_counters(spark, d):
     return crawl.counters(seen.unionByName(failed), links)
 
 
-def _model(spark, d, k: int = 10) -> tuple[lsi.Model, DataFrame, DataFrame]:
-    rows = materialise(docs(spark, d).select("doc_id", "text", "title", "tokens"), "spanish")
+def _model(spark, d, k: int = 10) -> tuple[lsi.Model, DataFrame, DataFrame, DataFrame]:
+    """The model over the stems of all documents, the documents, their weights, and the frequencies for queries."""
+    rows = stemmed_docs(spark, d)
     weights = materialise(index.tfidf(rows), "weights")
-    return lsi.train(weights, k), rows, weights
+    return lsi.train(weights, k), rows, weights, index.idf_table(index.term_frequencies(rows), rows)
 
 
 @query()
 def lsi_singular_values(spark, d):
-    model, _, weights = _model(spark, d)
+    model, _, weights, _ = _model(spark, d)
     shares = lsi.explained_variance_ratio(weights, model)
     rows = [(i, s, v) for i, (s, v) in enumerate(zip(model.singular_values, shares))]
     return spark.createDataFrame(rows, "component int, singular_value double, explained_variance_ratio double")
@@ -592,9 +629,8 @@ def lsi_doc_vectors(spark, d):
 
 
 def _lsi_scores(spark, d) -> tuple[DataFrame, DataFrame]:
-    model, rows, _ = _model(spark, d)
-    idfs = index.idf_table(index.term_frequencies(rows), rows)
-    return lsi.scores(index.query_vector(QUERY, idfs), model).withColumnRenamed("lsi_score", "score"), rows
+    model, rows, _, idfs = _model(spark, d)
+    return lsi.scores(index.query_vector(STEMS, idfs), model).withColumnRenamed("lsi_score", "score"), rows
 
 
 @query()
@@ -607,11 +643,11 @@ def lsi_search(spark, d):
 def lsi_refined_search(spark, d):
     scored, rows = _lsi_scores(spark, d)
     pool = index.top(scored, search.POOL).select("doc_id", F.col("score").alias("lsi"))
-    given = F.array(*map(F.lit, QUERY))
+    given = F.array(*map(F.lit, STEMS))
     both = rows.join(F.broadcast(pool), "doc_id")  # at most the pool
-    content, title = search.overlap(given, F.col("tokens")), search.overlap(given, words(F.col("title")))
+    content, title = search.overlap(given, F.array_union("tokens", "title_tokens")), search.overlap(given, F.col("title_tokens"))
     score = search.rerank_score(F.col("lsi"), content, title, T.word_count(F.col("text")))
-    snippet = search.best_snippet(F.lit(None).cast("string"), F.col("text"), given, words)
+    snippet = search.best_snippet(F.lit(None).cast("string"), F.col("text"), F.array(*map(F.lit, QUERY)), words)
     found = both.select("doc_id", F.round(score, 6).alias("score"), "lsi", F.round(content, 6).alias("lexical_overlap"), F.round(title, 6).alias("title_match"), "title", snippet.alias("snippet"))
     return search.above_threshold(found, 10)
 

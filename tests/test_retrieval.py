@@ -117,14 +117,16 @@ def _weights(spark, a):
     return spark.createDataFrame([(i, f"t{j}", float(a[i, j])) for i in range(a.shape[0]) for j in range(a.shape[1])], "doc_id long, term string, weight double")
 
 
-@pytest.mark.parametrize("exact_docs", [100, 1])
-def test_lsi_against_svd(spark, exact_docs):
+@pytest.mark.parametrize("docs, terms", [(4096, 65536), (4, 3)])
+def test_lsi_against_svd(spark, monkeypatch, docs, terms):
+    monkeypatch.setattr(lsi, "DOCS", docs)
+    monkeypatch.setattr(lsi, "TERMS", terms)
     rng = np.random.default_rng(0)
     a = rng.random((9, 4)) @ rng.random((4, 7)) + 0.001 * rng.random((9, 7))
     a[3] = a[4] = a[5]
-    model = lsi.train(_weights(spark, a), 3, exact_docs)
+    model = lsi.train(_weights(spark, a), 3)
     u, s, v = np.linalg.svd(a, full_matrices=False)
-    assert np.allclose(model.singular_values, s[:3], rtol=1e-4)
+    assert np.allclose(model.singular_values, s[:3], rtol=1e-9)
     got = {r.doc_id: np.array(r.vec) for r in model.documents.collect()}
     want = u[:, :3] * s[:3]
     assert np.allclose([[got[i] @ got[j] for j in range(9)] for i in range(9)], want @ want.T, atol=1e-3)
@@ -132,6 +134,27 @@ def test_lsi_against_svd(spark, exact_docs):
     assert np.allclose(np.abs(lsi.project(query, model)), np.abs(v[:3, 1]), atol=1e-3)
 
 
+def test_lsi_of_a_flat_spectrum(spark):
+    """More documents than a pass spans, and singular values close to each other: as exact as a full decomposition."""
+    rng = np.random.default_rng(1)
+    a = rng.random((150, 130)) * (rng.random((150, 130)) < 0.3)
+    weights = spark.createDataFrame([(int(i), f"t{j}", float(a[i, j])) for i, j in zip(*np.nonzero(a))], "doc_id long, term string, weight double")
+    model = lsi.train(weights, 5)
+    assert np.allclose(model.singular_values, np.linalg.svd(a, compute_uv=False)[:5], rtol=1e-6)
+    shares = lsi.explained_variance_ratio(weights, model)
+    assert all(0 <= x <= 1 for x in shares)
+
+
+def test_lsi_weights_are_checked(spark):
+    for rows, schema in (([(1, "a", math.nan)], "weight double"), ([(1, "a", math.inf)], "weight double"), ([(1, "a", None)], "weight double"), ([(1, "a", 1)], "weight int"), ([], "weight double")):
+        with pytest.raises(ValueError):
+            lsi.train(spark.createDataFrame(rows, f"doc_id long, term string, {schema}"), 1)
+    with pytest.raises(ValueError):
+        lsi.train(None, 1)
+    with pytest.raises(RuntimeError):
+        lsi.project(None, None)
+
+
 def test_lsi_limits(spark, tmp_path):
     w = _weights(spark, np.eye(3))
     for k in (0, -1, 4, 2.0, True):

@@ -84,3 +84,19 @@ def weighted_fields(docs: DataFrame, weights: dict[str, int]) -> DataFrame:
     fields = F.array(*[F.struct(F.lit(w).alias("w"), F.col(f).alias("tokens")) for f, w in weights.items()])
     rows = docs.select("doc_id", F.explode(fields).alias("x")).select("doc_id", "x.w", F.explode("x.tokens").alias("term"))
     return rows.groupBy("doc_id", "term").agg(F.sum("w").alias("freq"))
+
+
+def save(idfs: DataFrame, path: str, alpha: float = 0.5, log_base: float | None = None) -> None:
+    """The frequencies that queries are weighted with, and the parameters they were made with."""
+    from lumbre.sources.sinks import save_tables
+
+    check_parameters(alpha, log_base)
+    save_tables({"idf": idfs}, {"alpha": alpha, "log_base": log_base}, path)
+
+
+def load(spark, path: str) -> tuple[DataFrame, float, float | None]:
+    """(idf table, alpha, log_base); FileNotFoundError where there is none."""
+    from lumbre.sources.sinks import load_tables
+
+    tables, settings = load_tables(spark, path, ["idf"])
+    return tables["idf"], settings["alpha"], settings["log_base"]

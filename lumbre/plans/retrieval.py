@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -431,37 +433,43 @@ def extractive_answer(spark, d):
     return search.extractive_answer(_found(spark, d), QUERY_TEXT, QUERY, words)
 
 
-def _run(spark, d, system: str) -> DataFrame:
-    """(query_id, doc_id, rank, score): a system's documents of each query by their LSI score."""
-    hits = table(spark, d, "search_results").where(F.col("system") == system).groupBy("query_id", "doc_id").agg(F.max(F.when(~F.isnan("lsi_score"), F.col("lsi_score"))).alias("score"))
+def _run(spark, d) -> DataFrame:
+    """(query_id, doc_id, rank, score): each system's documents of each query by their LSI score; the query's name begins with the system's."""
+    named = F.concat_ws("|", "system", "query_id").alias("query_id")
+    hits = table(spark, d, "search_results").groupBy(named, "doc_id").agg(F.max(F.when(~F.isnan("lsi_score"), F.col("lsi_score"))).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "doc_id")
     return hits.withColumn("rank", F.row_number().over(order))
 
 
 def _relevant(spark, d) -> DataFrame:
-    """Documents whose title matches the query, in place of judgements."""
-    hits = table(spark, d, "search_results").where((F.col("system") == "tfidf+lsi") & ~F.isnan("title_match") & (F.col("title_match") >= 0.6))
-    return hits.select("query_id", "doc_id").distinct()
+    """Documents whose title matches the query, in place of judgements; the same for every system."""
+    rows = table(spark, d, "search_results")
+    hits = rows.where((F.col("system") == "tfidf+lsi") & ~F.isnan("title_match") & (F.col("title_match") >= 0.6)).select("query_id", "doc_id").distinct()
+    systems = F.broadcast(rows.select("system").distinct())  # a few systems
+    return hits.crossJoin(systems).select(F.concat_ws("|", "system", "query_id").alias("query_id"), "doc_id")
 
 
-def _metrics(spark, d, system: str) -> DataFrame:
-    asked = table(spark, d, "search_results").select("query_id").distinct()
-    return evaluate.per_query(_run(spark, d, system), _relevant(spark, d), asked)
+def _metrics(spark, d) -> DataFrame:
+    """(system, query_id, metrics)"""
+    rows = table(spark, d, "search_results")
+    asked = rows.select("query_id").distinct().crossJoin(F.broadcast(rows.select("system").distinct())).select(F.concat_ws("|", "system", "query_id").alias("query_id"))  # a few systems
+    per = evaluate.per_query(_run(spark, d), _relevant(spark, d), asked)
+    return per.withColumn("system", F.substring_index("query_id", "|", 1)).withColumn("query_id", F.expr("substring(query_id, length(system) + 2)"))
 
 
-def _eval_sql(system: str, name: str) -> str:
-    return f"""{name}_run AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, doc_id) AS rank, score FROM
-        (SELECT query_id, doc_id, max(CASE WHEN NOT isnan(lsi_score) THEN lsi_score END) AS score FROM search_results WHERE system = '{system}' GROUP BY ALL)),
-    {name}_hit AS (SELECT r.query_id, rank, CASE WHEN q.doc_id IS NULL THEN 0 ELSE 1 END AS hit FROM {name}_run r LEFT JOIN qrels q ON r.query_id = q.query_id AND r.doc_id = q.doc_id),
-    {name}_sum AS (SELECT query_id, sum(CASE WHEN rank <= 3 THEN hit ELSE 0 END) / 3.0 AS p3, sum(CASE WHEN rank <= 5 THEN hit ELSE 0 END) / 5.0 AS p5, sum(hit * seen / rank) AS s, sum(CASE WHEN rank <= 5 THEN hit / log2(rank + 1) ELSE 0 END) AS dcg
-        FROM (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM {name}_hit) GROUP BY query_id),
-    {name} AS (SELECT query_id, coalesce(p3, 0) AS p_at_3, coalesce(p5, 0) AS p_at_5, CASE WHEN n > 0 THEN coalesce(s, 0) / n ELSE 0 END AS ap,
-        CASE WHEN n > 0 THEN coalesce(dcg, 0) / list_sum(list_transform(generate_series(1, least(n, 5)), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg_at_5
-        FROM (SELECT DISTINCT query_id FROM search_results) LEFT JOIN {name}_sum USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM qrels GROUP BY query_id) USING (query_id))"""
+def _of(per: DataFrame, system: str) -> DataFrame:
+    return evaluate.summary(per.where(F.col("system") == system))
 
 
+_RUNS = """runs AS (SELECT system, query_id, doc_id, row_number() OVER (PARTITION BY system, query_id ORDER BY score DESC NULLS LAST, doc_id) AS rank, score FROM
+        (SELECT system, query_id, doc_id, max(CASE WHEN NOT isnan(lsi_score) THEN lsi_score END) AS score FROM search_results GROUP BY ALL)),
+    hit AS (SELECT r.system, r.query_id, rank, CASE WHEN q.doc_id IS NULL THEN 0 ELSE 1 END AS hit FROM runs r LEFT JOIN qrels q ON r.query_id = q.query_id AND r.doc_id = q.doc_id),
+    sums AS (SELECT system, query_id, sum(CASE WHEN rank <= 3 THEN hit ELSE 0 END) / 3.0 AS p3, sum(CASE WHEN rank <= 5 THEN hit ELSE 0 END) / 5.0 AS p5, sum(hit * seen / rank) AS s, sum(CASE WHEN rank <= 5 THEN hit / log2(rank + 1) ELSE 0 END) AS dcg
+        FROM (SELECT *, sum(hit) OVER (PARTITION BY system, query_id ORDER BY rank) AS seen FROM hit) GROUP BY system, query_id),
+    m AS (SELECT system, query_id, coalesce(p3, 0) AS p_at_3, coalesce(p5, 0) AS p_at_5, CASE WHEN n > 0 THEN coalesce(s, 0) / n ELSE 0 END AS ap,
+        CASE WHEN n > 0 THEN coalesce(dcg, 0) / list_sum(list_transform(generate_series(1, least(n, 5)), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg_at_5
+        FROM (SELECT * FROM (SELECT DISTINCT query_id FROM search_results), (SELECT DISTINCT system FROM search_results)) LEFT JOIN sums USING (system, query_id) LEFT JOIN (SELECT query_id, count(*) AS n FROM qrels GROUP BY query_id) USING (query_id))"""
 _QRELS = "qrels AS (SELECT DISTINCT query_id, doc_id FROM search_results WHERE system = 'tfidf+lsi' AND NOT isnan(title_match) AND title_match >= 0.6)"
-_BASE, _REFINED = _eval_sql("tfidf+lsi", "m"), _eval_sql("tfidf+lsi+threshold+rerank", "r")
 _ROUNDED = "round(p_at_3, 6) AS p_at_3, round(p_at_5, 6) AS p_at_5, round(ap, 6) AS ap, round(ndcg_at_5, 6) AS ndcg_at_5"
 _MEANS = "avg(p_at_3) AS p_at_3, avg(p_at_5) AS p_at_5, avg(ap) AS map_score, avg(ndcg_at_5) AS ndcg_at_5"
 
@@ -470,24 +478,28 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-@query(f"WITH {_QRELS}, {_BASE} SELECT query_id, {_ROUNDED} FROM m")
+@query(f"WITH {_QRELS}, {_RUNS} SELECT system, query_id, {_ROUNDED} FROM m")
 def eval_per_query(spark, d):
-    return _rounded(_metrics(spark, d, "tfidf+lsi"))
+    return _rounded(_metrics(spark, d))
 
 
-@query(f"WITH {_QRELS}, {_BASE} SELECT round(avg(p_at_3), 6) AS p_at_3, round(avg(p_at_5), 6) AS p_at_5, round(avg(ap), 6) AS map_score, round(avg(ndcg_at_5), 6) AS ndcg_at_5 FROM m")
+@query(f"WITH {_QRELS}, {_RUNS} SELECT system, round(avg(p_at_3), 6) AS p_at_3, round(avg(p_at_5), 6) AS p_at_5, round(avg(ap), 6) AS map_score, round(avg(ndcg_at_5), 6) AS ndcg_at_5 FROM m GROUP BY system")
 def eval_summary(spark, d):
-    return _rounded(evaluate.summary(_metrics(spark, d, "tfidf+lsi")))
+    per = materialise(_metrics(spark, d), "metrics")
+    systems = [r["system"] for r in table(spark, d, "search_results").select("system").distinct().collect()]  # a few systems
+    return _rounded(reduce(DataFrame.unionByName, [_of(per, x).withColumn("system", F.lit(x)) for x in systems]))
 
 
-@query(f"WITH {_QRELS}, {_BASE}, {_REFINED}, a AS (SELECT {_MEANS} FROM m), b AS (SELECT {_MEANS} FROM r) SELECT round(b.p_at_3 - a.p_at_3, 6) AS p_at_3, round(b.p_at_5 - a.p_at_5, 6) AS p_at_5, round(b.map_score - a.map_score, 6) AS map_score, round(b.ndcg_at_5 - a.ndcg_at_5, 6) AS ndcg_at_5 FROM a, b")
+@query(f"WITH {_QRELS}, {_RUNS}, a AS (SELECT {_MEANS} FROM m WHERE system = 'tfidf+lsi'), b AS (SELECT {_MEANS} FROM m WHERE system = 'tfidf+lsi+threshold+rerank') SELECT round(b.p_at_3 - a.p_at_3, 6) AS p_at_3, round(b.p_at_5 - a.p_at_5, 6) AS p_at_5, round(b.map_score - a.map_score, 6) AS map_score, round(b.ndcg_at_5 - a.ndcg_at_5, 6) AS ndcg_at_5 FROM a, b")
 def eval_delta(spark, d):
-    return _rounded(evaluate.delta(evaluate.summary(_metrics(spark, d, "tfidf+lsi")), evaluate.summary(_metrics(spark, d, "tfidf+lsi+threshold+rerank"))))
+    per = materialise(_metrics(spark, d), "metrics")
+    return _rounded(evaluate.delta(_of(per, "tfidf+lsi"), _of(per, "tfidf+lsi+threshold+rerank")))
 
 
-@query(f"""WITH {_QRELS}, {_BASE} SELECT query_id, count(*) < 3 OR max(CASE WHEN rank = 1 THEN coalesce(score, 0) END) < 0.28 OR avg(CASE WHEN rank <= 3 THEN coalesce(score, 0) END) < 0.22 AS insufficient FROM m_run GROUP BY query_id""")
+@query(f"""WITH {_QRELS}, {_RUNS} SELECT system, query_id, count(*) < 3 OR max(CASE WHEN rank = 1 THEN coalesce(score, 0) END) < 0.28 OR avg(CASE WHEN rank <= 3 THEN coalesce(score, 0) END) < 0.22 AS insufficient FROM runs GROUP BY system, query_id""")
 def insufficiency(spark, d):
-    return evaluate.insufficient(_run(spark, d, "tfidf+lsi"))
+    told = evaluate.insufficient(_run(spark, d))
+    return told.withColumn("system", F.substring_index("query_id", "|", 1)).withColumn("query_id", F.expr("substring(query_id, length(system) + 2)"))
 
 
 _HOST = r"lower(regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
@@ -514,10 +526,19 @@ def doc_id_sha1(spark, d):
     return table(spark, d, "crawled_documents").select("seq", web.doc_id(F.col("url")).alias("made_id"), (web.doc_id(F.col("url")) == F.col("doc_id")).alias("same"))
 
 
-@query("SELECT raw_html_path, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, nullif(trim(regexp_extract(html, '<html[^>]*? lang=\"([^\"]*)\"', 1)), '') AS language FROM raw_pages WHERE html LIKE '%<title>%</title>%' AND html NOT LIKE '%<title>%&%</title>%' AND html NOT LIKE '%og:title%'")
+def _decoded(text: str) -> str:
+    for entity, sign in (("&#x27;", "''"), ("&#39;", "''"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{sign}')"
+    return f"nullif(trim({text}), '')"
+
+
+_OG = """regexp_extract(html, '<meta[^>]*property="og:title"[^>]*content="([^"]*)"', 1)"""
+
+
+@query(f"""SELECT raw_html_path, coalesce({_decoded(_OG)}, {_decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title,
+    nullif(trim(regexp_extract(html, '<html[^>]*? lang="([^"]*)"', 1)), '') AS language FROM raw_pages""")
 def html_title_lang(spark, d):
-    plain = F.col("html").like("%<title>%</title>%") & ~F.col("html").like("%<title>%&%</title>%") & ~F.col("html").like("%og:title%")
-    return web.documents(table(spark, d, "raw_pages").where(plain), "raw_html_path").select("raw_html_path", "title", "language")
+    return web.documents(table(spark, d, "raw_pages"), "raw_html_path").select("raw_html_path", "title", "language")
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumbre import problems
@@ -66,6 +66,17 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_texts(table(spark, sf_dir, "crawled_documents"))
 
 
+def p3_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text joined again from its pieces without their overlaps, and whether all pieces fit and begin with the overlap that is asked for."""
+    piece = split.split_texts(table(spark, sf_dir, "crawled_documents"))
+    lead = F.when(F.col("piece_no") == 1, 0).otherwise(split.OVERLAP)
+    rows = piece.withColumn("own", F.expr("substring(piece, 1)") if not split.OVERLAP else F.substring(F.col("piece"), lead + 1, F.length("piece"))).withColumn("end", F.col("start") + F.col("n_chars"))
+    before = F.lag("end").over(Window.partitionBy("seq").orderBy("piece_no"))
+    right = (F.col("n_chars") <= split.LIMIT) & (F.coalesce(before, F.lit(0)) - F.col("start") == lead)
+    rows = rows.withColumn("right", right).groupBy("seq").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "").alias("text"), F.bool_and("right").alias("pieces_right"))
+    return rows.select("seq", F.length("text").alias("n_chars"), F.md5(F.encode("text", "utf-8")).alias("text_md5"), "pieces_right")
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(record_set, key, text): the articles of crawled documents, and reviews."""
     pages = materialise(template.articles(table(spark, sf_dir, "crawled_documents")), "articles")
@@ -88,7 +99,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranking.ranked(table(spark, sf_dir, "search_results"), ["system", "query_id"], "doc_id", SCORES)
-    return rows.select("system", "query_id", "doc_id", "position", F.transform("vector", lambda v: F.round(v, 9)).alias("vector"))
+    return rows.select("system", "query_id", "doc_id", "position", *[F.round(F.col("vector")[i], 9).alias(name) for i, name in enumerate(("weakest", "middle", "strongest"))])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +146,14 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "p" and name[1].isdigit()}
 
 _SITE = r"regexp_replace(regexp_extract(lower(coalesce(url, '')), '^\s*(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:\s]*)', 1), '^(www|m)\.', '')"
+_VALID = ", ".join(f"max(CASE WHEN NOT isnan({s}) THEN {s} END) AS {s}" for s in SCORES)
+_PCT = ", ".join(
+    f"CASE WHEN {s} IS NULL THEN 0 ELSE (rank() OVER (PARTITION BY system, query_id ORDER BY {s} NULLS LAST) - 1 + count({s}) OVER (PARTITION BY system, query_id, {s}) / 2.0) / count({s}) OVER (PARTITION BY system, query_id) END::DOUBLE"
+    for s in SCORES
+)
+_LEXIMIN = f"""WITH best AS (SELECT system, query_id, doc_id, {_VALID} FROM search_results GROUP BY ALL),
+    vectors AS (SELECT system, query_id, doc_id, list_sort([{_PCT}]) AS vector FROM best),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY system, query_id ORDER BY vector DESC, doc_id)::BIGINT AS position FROM vectors)"""
 ORACLE = {
     "p1_found": rf"""WITH docs AS (SELECT seq, doc_id, {_SITE} AS site, content FROM crawled_documents WHERE trim(regexp_replace(content, '\s+', ' ', 'g')) <> ''),
         lines AS (SELECT seq, doc_id, site, no, lower(regexp_replace(line, '[^\p{{L}}]+', '', 'g')) AS k FROM
@@ -142,5 +161,8 @@ ORACLE = {
         found AS (SELECT site, k FROM lines JOIN (SELECT site, count(DISTINCT doc_id) AS n FROM docs GROUP BY site) USING (site) WHERE k <> '' GROUP BY site, k, n
             HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) >= 0.15 * n)
         SELECT DISTINCT seq, no::BIGINT AS line_no FROM lines JOIN found USING (site, k)""",
+    "p3_rejoined": "SELECT seq, length(content)::INT AS n_chars, md5(content) AS text_md5, true AS pieces_right FROM crawled_documents WHERE content IS NOT NULL",
+    "p5_ranking": f"""{_LEXIMIN} SELECT system, query_id, doc_id, position, round(vector[1], 9) AS weakest, round(vector[2], 9) AS middle, round(vector[3], 9) AS strongest FROM placed""",
+    "p5_found": f"""{_LEXIMIN} SELECT system, query_id, doc_id FROM placed WHERE position = 1 AND vector[3] > 0""",
     "p3_found": "SELECT DISTINCT seq FROM crawled_documents WHERE length(content) > 4000",
 }

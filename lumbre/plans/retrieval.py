@@ -546,12 +546,21 @@ def extract_document(spark, d):
     return web.documents(table(spark, d, "raw_pages"), "raw_html_path")
 
 
-@query()
+_LD = r"""ld AS (SELECT raw_html_path, CASE WHEN json_valid(j) THEN j END AS j FROM (SELECT raw_html_path, regexp_extract(html, '(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>', 1) AS j FROM raw_pages))"""
+
+
+def _linked(key: str) -> str:
+    return f"nullif(trim(json_extract_string(j, '$.\"{key}\"')), '')"
+
+
+@query(f"""WITH {_LD} SELECT raw_html_path, coalesce({_linked("name")}, {_decoded(_OG)}, {_decoded("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS entity_name, {_linked("datePublished")} AS review_date,
+    {_linked("ratingValue")} AS rating, {_linked("location")} AS location, coalesce({_linked("@type")}, 'web_page') AS content_type, '' AS tags FROM raw_pages JOIN ld USING (raw_html_path)""")
 def jsonld_fields(spark, d):
-    return web.documents(table(spark, d, "raw_pages"), "raw_html_path").select("raw_html_path", "entity_name", "review_date", "rating", "location", "content_type", "tags")
+    rows = web.documents(table(spark, d, "raw_pages"), "raw_html_path")
+    return rows.select("raw_html_path", "entity_name", "review_date", "rating", "location", "content_type", F.array_join("tags", ",").alias("tags"))
 
 
-@query()
+@query(r"""SELECT DISTINCT 'https://pages.example/' || raw_html_path AS url, 'https://pages.example' || href AS link FROM (SELECT raw_html_path, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM raw_pages)""")
 def extract_links(spark, d):
     pages = table(spark, d, "raw_pages").select(F.concat(F.lit("https://pages.example/"), F.col("raw_html_path")).alias("url"), "html")
     return web.links(pages, [])
@@ -595,7 +604,11 @@ def concat_column(spark, d):
     return joined_column(table(spark, d, "nation"), "n_name", "n_nationkey")
 
 
-@query()
+def _leaves(side: str) -> str:
+    return f"{side}.system || chr(10) || array_to_string(list_transform({side}.queries, lambda q: q.query_id || chr(10) || q.query_text || chr(10) || array_to_string(q.retrieved_doc_ids, chr(10))), chr(10))"
+
+
+@query(f"SELECT run_id, {_leaves('baseline')} || chr(10) || {_leaves('refined')} AS text FROM rec01_eval_report")
 def json_string_leaves(spark, d):
     from lumbre.sources.readers import json_text
 

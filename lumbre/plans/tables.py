@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -24,11 +25,31 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_written: dict[int, list[str]] = {}
+
+
+def _remove(owner: int, paths: list[str]) -> None:
+    """At the end of the process that wrote them."""
+    session = SparkSession.getActiveSession() if os.getpid() == owner else None
+    if session is None:
+        return
+    try:
+        for path in paths:
+            place = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session has ended; what is left is for the folder's owner
+        pass
+
+
 def materialise(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, so that several branches of a plan, or lost executors, don't compute it again."""
+    """Write ``df`` once to the shared folder and read it back, so that several branches of a plan, or lost executors, don't compute it again. The table is removed when the process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if os.getpid() not in _written:
+        _written[os.getpid()] = []
+        atexit.register(_remove, os.getpid(), _written[os.getpid()])
+    _written[os.getpid()].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

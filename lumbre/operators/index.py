@@ -48,8 +48,13 @@ def tfidf(docs: DataFrame, tokens: str = "tokens", alpha: float = 0.5, log_base:
     """(doc_id, term, freq, weight), sparse; the vocabulary is the distinct terms."""
     check_parameters(alpha, log_base)
     index = term_frequencies(docs, tokens)
+    return weigh(index, idf_table(index, docs, log_base), alpha)
+
+
+def weigh(index: DataFrame, idfs: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """(doc_id, term, freq, weight) of postings (term, doc_id, freq); all postings of a document are needed."""
     most = F.max("freq").over(Window.partitionBy("doc_id"))
-    rows = index.withColumn("most", most).join(idf_table(index, docs, log_base), "term")
+    rows = index.withColumn("most", most).join(idfs, "term")
     return rows.select("doc_id", "term", "freq", (tf(F.col("freq"), F.col("most"), alpha) * F.col("idf")).alias("weight"))
 
 
@@ -62,6 +67,12 @@ def query_vector(words: list[str], idfs: DataFrame, alpha: float = 0.5) -> DataF
     return known.select("term", (tf(F.col("freq"), most, alpha) * F.col("idf")).alias("weight"))
 
 
+def search(index: DataFrame, idfs: DataFrame, query: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """(doc_id, score): cosines of the documents that share a term with the query (term, weight); only these are weighted."""
+    shared = index.join(F.broadcast(query.select("term")), "term", "left_semi").select("doc_id").distinct()  # the words of one query
+    return cosine_scores(weigh(index.join(shared, "doc_id", "left_semi"), idfs, alpha), query)
+
+
 def cosine_scores(weights: DataFrame, query: DataFrame) -> DataFrame:
     """(doc_id, score): cosine of each document that shares a term with the query; 0 where a norm is 0."""
     q = query.select("term", F.col("weight").alias("qw"))

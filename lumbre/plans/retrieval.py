@@ -158,9 +158,9 @@ def tfidf_query_vector(spark, d):
 
 
 def _cosines(rows: DataFrame, given: list[str]) -> DataFrame:
-    weights = index.tfidf(rows)
-    idfs = index.idf_table(index.term_frequencies(rows), rows)
-    return index.cosine_scores(weights, index.query_vector(given, idfs))
+    postings = materialise(index.term_frequencies(rows), "postings")
+    idfs = materialise(index.idf_table(postings, rows), "idf")
+    return index.search(postings, idfs, index.query_vector(given, idfs))
 
 
 _Q = _QV.replace(", 'playa', 'noword'", "")

@@ -53,10 +53,10 @@ def clean(text: Column, accents: bool = False, entities: bool = False) -> Column
     if entities:
         held = out.rlike(r"&#?\w")
         out = F.when(held, _unescape(F.when(held, out))).otherwise(out)
-    out = F.regexp_replace(F.regexp_replace(out, "<[^>]+>", " "), "[’‘']", "")
-    if not accents:
-        out = strip_accents(out)
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(out), r"[^a-z\s]+", " "), r"\s+", " "))
+    out = F.when(F.contains(out, F.lit("<")), F.regexp_replace(out, "<[^>]+>", " ")).otherwise(out)
+    # One pass replaces accented letters and drops apostrophes.
+    out = F.translate(out, "’‘'", "") if accents else F.regexp_replace(F.translate(out, _ACCENTED + "’‘'", _PLAIN), r"\p{M}+", "")
+    return F.trim(F.regexp_replace(F.lower(out), "[^a-z]+", " "))
 
 
 def tokens(cleaned: Column, least: int = 2) -> Column:

@@ -158,3 +158,13 @@ def test_words_of_a_text():
 @pytest.mark.parametrize("text", ["日本 語 " * 10, "ß Straße " * 10])
 def test_other_letters_are_words(text):
     assert len(neardup.word_hashes([text])[0]) == len(text.split())
+
+
+def test_the_order_of_runs_counts_all_records(spark):
+    """Of 40,000 records, the counts of the runs that all share are those of all of them."""
+    df = spark.range(40_000).select(F.lit("a").alias("record_set"), F.col("id").alias("key"), F.concat(F.lit("a b c d e f g h i j k "), F.col("id").cast("string")).alias("text"))
+    counted = neardup.count_runs(df)
+    often = counted.where("kind = 0").groupBy("item").agg(F.sum("records").alias("records")).where("records > 1000").collect()
+    assert [r.records for r in often] == [40_000] * 9
+    order = neardup.run_order(counted)
+    assert len(order.runs) == 9 and set(order.level.tolist()) == {int(2 * np.log2(40_000))}

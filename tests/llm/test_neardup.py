@@ -160,6 +160,37 @@ def test_other_letters_are_words(text):
     assert len(neardup.word_hashes([text])[0]) == len(text.split())
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(2, 80), st.integers(2, 80), st.integers(0, 15), st.integers(0, 2**32))
+def test_budget_split_over_parts_is_exact(n, m, budget, seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, size=(3, 2), dtype=np.uint64)
+
+    def near(k):
+        prints = base[rng.integers(0, 3, k)]
+        for _ in range(8):
+            prints = prints ^ (np.uint64(1) << rng.integers(0, 64, size=(k, 2), dtype=np.uint64))
+        return prints
+
+    one, two = near(n), near(m)
+    limits, neardup.PROBE, neardup.FOUND = (neardup.PROBE, neardup.FOUND), 0, 0
+    try:
+        for other in (two, None):
+            walk, want = neardup._by_parts(one, other, budget + 1e-6), neardup._by_halves(one, other, budget + 1e-6)
+            assert sorted(zip(walk.left.tolist(), walk.right.tolist())) == sorted(zip(want.left.tolist(), want.right.tolist()))
+    finally:
+        neardup.PROBE, neardup.FOUND = limits
+
+
+def test_large_blocks_are_not_compared_pair_by_pair():
+    """60,000 fingerprints with room for eleven bits, of which 300 have a twin that differs in ten: a small part of the pairs is looked at, and no twin is lost."""
+    rng, n = np.random.default_rng(7), 60_000
+    prints = rng.integers(0, 2**64, size=(n, 2), dtype=np.uint64)
+    prints[300:600] = prints[:300] ^ np.array([0b11111 << 20, 0b11111 << 50], np.uint64)
+    walk = neardup.trie_walk(prints, np.full(n, 5.5))
+    assert set(zip(range(300), range(300, 600))) <= set(zip(walk.left.tolist(), walk.right.tolist())) and walk.seen < n * n / 100, walk.seen
+
+
 def test_the_order_of_runs_counts_all_records(spark):
     """Of 40,000 records, the counts of the runs that all share are those of all of them."""
     df = spark.range(40_000).select(F.lit("a").alias("record_set"), F.col("id").alias("key"), F.concat(F.lit("a b c d e f g h i j k "), F.col("id").cast("string")).alias("text"))

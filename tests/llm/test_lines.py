@@ -80,6 +80,17 @@ def test_no_date_is_not_a_date(spark):
     assert repeated.repeated_lines(_docs(spark, rows), F.col("doc_id"), date, min_dates=1).count() == 10
 
 
+@pytest.mark.parametrize("other", ["2001-07-24", "2008-03-09", "2018-05-17"])
+def test_dates_are_counted_exactly(spark, other):
+    """Two dates that a sketch of distinct values takes for one are two."""
+    rows = [(i, f"d{i}", "https://a.example/", "the same line", "2024-05-01" if i % 2 else other) for i in range(6)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert repeated.repeated_lines(docs, F.col("doc_id"), F.col("review_date"), min_dates=2).count() == 6
+    assert repeated.repeated_lines(docs, F.col("doc_id"), F.col("review_date"), min_dates=3).count() == 0
+    counts = repeated.line_counts(docs, F.col("doc_id"), F.col("review_date")).collect()
+    assert [(r.clusters, r.dates) for r in counts] == [(6, 2)]
+
+
 def test_lines_removed(spark):
     rows = _corpus()
     docs = _docs(spark, rows)

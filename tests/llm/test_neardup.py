@@ -199,3 +199,50 @@ def test_the_order_of_runs_counts_all_records(spark):
     assert [r.records for r in often] == [40_000] * 9
     order = neardup.run_order(counted)
     assert len(order.runs) == 9 and set(order.level.tolist()) == {int(2 * np.log2(40_000))}
+
+
+def _keys(rng, n, blocks):
+    size = rng.integers(10, 60, n)
+    columns = (rng.integers(0, blocks, n), rng.integers(0, 2**62, n), size, (rng.random(n) * (size / 2)).astype(int), rng.integers(0, 2**63, n), rng.integers(0, 2**63, n), np.zeros(n), np.full(n, 2))
+    return neardup.Keys(*(np.asarray(x).astype(kind) for x, kind in zip(columns, neardup._KINDS)))
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_packed_keys_are_the_same_rows(n):
+    keys = _keys(np.random.default_rng(n), n, 9)
+    for rows in (keys, keys._replace(node=np.arange(n) - 7, side=(np.arange(n) % 3).astype(np.int8))):
+        assert all(x.dtype == y.dtype and (x == y).all() for x, y in zip(neardup._unpack(neardup._pack(rows)), rows))
+
+
+def test_rows_without_a_partner_are_left_out():
+    """Of rows of blocks, all are kept that lie in a pair within both slacks and with enough runs left; some others go."""
+    keys = _keys(np.random.default_rng(8), 600, 150)
+    keys = neardup._take(keys, np.argsort(keys.block))
+    kept = set(neardup._with_partner(keys, 0.5).cls.tolist())
+    slack, rest, wanted = neardup.slacks(keys.n, keys.at, 0.5), keys.n - keys.at, set()
+    for i in range(600):
+        for j in range(i):
+            if keys.block[i] == keys.block[j] and slack[i] + slack[j] >= 0 and 3 * min(rest[i], rest[j]) >= keys.n[i] + keys.n[j]:
+                wanted |= {int(keys.cls[i]), int(keys.cls[j])}
+    assert wanted <= kept and len(wanted) > 200 and len(kept) < 550
+
+
+@pytest.mark.parametrize("value", [[], [5, 1, 5, 1, 9], [1 << 53, 0, 1 << 53, 0], [(1 << 53) + 1, 1, (1 << 53) + 1, 1]])
+def test_equal_values_become_neighbours(value):
+    value = np.array(value, np.uint64)
+    order = neardup._grouped(value)
+    own = value[order]
+    assert sorted(order.tolist()) == list(range(len(value))) and (own[1:] != own[:-1]).sum() + 1 == max(1, len(set(value.tolist())))
+
+
+def test_the_tables_of_block_keys_are_removed(spark):
+    """What blocks are made of is the largest table, and not there any more when pairs are checked."""
+    from pathlib import Path
+
+    from lumbre.plans.tables import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in shared.iterdir()}
+    assert neardup.record_pairs(spark.createDataFrame(_corpus(), SCHEMA)).count() > 40
+    left = [p.name for p in shared.iterdir() if p.name not in before]
+    assert not [x for x in left if x.startswith("sketches")] and sum(x.startswith("pairs") for x in left) == 1

@@ -246,3 +246,18 @@ def test_the_tables_of_block_keys_are_removed(spark):
     assert neardup.record_pairs(spark.createDataFrame(_corpus(), SCHEMA)).count() > 40
     left = [p.name for p in shared.iterdir() if p.name not in before]
     assert not [x for x in left if x.startswith("sketches")] and sum(x.startswith("pairs") for x in left) == 1
+
+
+def test_copies_met_by_several_workers_count_once(spark):
+    """Rows of a class that stand twice in a block give the pairs that they give once; a text copied to all partitions has one sketch in what pairs are checked by."""
+    keys = _keys(np.random.default_rng(9), 300, 20)
+    keys = keys._replace(hi=keys.block.astype("<u8"), lo=keys.block.astype("<u8"))
+    pairs = lambda k: sorted(zip(*(c.to_pylist() for c in neardup._join_keys(k, 0.5).columns)))
+    twice = neardup._joined([keys, keys])
+    assert len(neardup._once(twice).cls) == 300 and pairs(twice) == pairs(keys) and len(pairs(keys)) > 50
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [("a", i, words if i % 9 else words + " eins") for i in range(200)]
+    got = [tuple(r) for r in neardup.record_pairs(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()]
+    assert len(got) == len(set(got)) == 200 * 199 // 2
+    _, links = neardup.class_links(spark.createDataFrame(rows, SCHEMA).repartition(7))
+    assert links.count() == 1
